@@ -114,6 +114,16 @@ def plain_pattern() -> str:
     return "^[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]*$"
 
 
+@lru_cache(maxsize=100_000)
+def skeleton_of(ch: str) -> str:
+    return character_map().get(ch, ch)
+
+
+def skeleton(text: str) -> str:
+    """The form of one text, composed, as ``unify_texts`` gives it: for keys made inside other operators' functions."""
+    return unicodedata.normalize("NFC", "".join(map(skeleton_of, text)))
+
+
 def _character_table(spark: SparkSession) -> DataFrame:
     """(ch, parts ARRAY<STRUCT<ch, ccc>>) of mapped characters and of combining marks; some 10,000 rows, fixed by Unicode."""
     table = dict(character_map())

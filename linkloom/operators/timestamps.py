@@ -88,6 +88,15 @@ def _lookup(value: Column, pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])[value]
 
 
+def _fenced(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with the columns, computed here once: the one-row explode keeps the optimiser from copying their
+    expressions into everything above, filters included."""
+    name = "__ll_fence"
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    out = df.select(*kept, F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias(name))
+    return out.select(*kept, *[F.col(name)[k].alias(k) for k in columns])
+
+
 def local_candidates(local_us: Column, zone: Column) -> Column:
     """All instants (microseconds) at which the clock of ``zone`` shows ``local_us`` (microseconds, read as if UTC)."""
     first = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local_us), zone))
@@ -124,7 +133,7 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str, out: str = "instan
         # one match writes all parts, in the order of names, behind the pattern's name
         written = "|".join([name, *[f"${numbers[g]}" if g in numbers else "" for g in names]])
         split = F.when(t.rlike(anchored), F.regexp_replace(t, anchored, written)).otherwise(split)
-    work = work.withColumn(f"{base}a", F.split(split, r"\|"))
+    work = _fenced(work, **{f"{base}a": F.split(split, r"\|")})
     array = F.col(f"{base}a")
     f = array[0]
     work = work.withColumn(f"{base}p", F.struct(*[F.nullif(array[i + 1], F.lit("")).alias(g) for i, g in enumerate(names)]))
@@ -135,7 +144,7 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str, out: str = "instan
     hour, minute, second = number(p["h"]), F.coalesce(number(p["mi"]), number(p["mib"]), F.lit(0)), F.coalesce(number(p["s"]), number(p["sb"]), F.lit(0))
     day = number(p["d"])
     date = F.when((month.between(1, 12)) & (day >= 1) & (year >= 1) & (day <= F.dayofmonth(F.last_day(F.make_date(year, F.when(month.between(1, 12), month).otherwise(1), F.lit(1))))), F.make_date(year, month, day))
-    work = work.withColumns({f"{base}d": date})
+    work = _fenced(work, **{f"{base}d": date})
     d = F.col(f"{base}d")
     half = F.lower(p["ampm"])
     clock = F.when(half.isNull(), F.when(hour <= 29, hour)).when((hour <= 12) & half.isin("a", "午前"), hour % 12).when((hour <= 12) & half.isin("p", "午後"), hour % 12 + 12)
@@ -154,11 +163,11 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str, out: str = "instan
     home = F.coalesce(p["region"], F.nullif(F.trim(df[f"`{zone}`"]), F.lit("")))
     # a zone that the JVM doesn't know would end the job
     known = home.isin(sorted(df.sparkSession._jvm.java.time.ZoneId.getAvailableZoneIds()))
-    work = work.withColumns({f"{base}l": F.when(valid, seconds * US + fraction), f"{base}o": fixed, f"{base}z": F.when(known, home)})
+    work = _fenced(work, **{f"{base}l": F.when(valid, seconds * US + fraction), f"{base}o": fixed, f"{base}z": F.when(known, home), f"{base}e": F.when(f == "epoch", epoch_us)})
     local, z = F.col(f"{base}l"), F.col(f"{base}z")
     needs = local.isNotNull() & F.col(f"{base}o").isNull() & z.isNotNull()
     # zones are looked up only for rows that need them, so that a fixed offset costs nothing
-    work = work.withColumn(f"{base}c", F.when(needs, local_candidates(local, F.coalesce(z, F.lit("UTC")))))
+    work = _fenced(work, **{f"{base}c": F.when(needs, local_candidates(local, F.coalesce(z, F.lit("UTC"))))})
     c = F.col(f"{base}c")
     first_guess = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), F.coalesce(z, F.lit("UTC"))))
     by_zone = F.when(F.size(c) == 1, c[0])
@@ -166,7 +175,7 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str, out: str = "instan
         by_zone = F.when(F.size(c) > 1, F.element_at(c, 1 if policy.ambiguous == "earlier" else -1)).otherwise(by_zone)
     if policy.nonexistent == "shift":
         by_zone = F.when(F.size(c) == 0, first_guess).otherwise(by_zone)
-    instant = F.when(f == "epoch", epoch_us).when(F.col(f"{base}o").isNotNull(), local - F.col(f"{base}o").cast("long") * 60 * US).when(needs, by_zone)
+    instant = F.when(f == "epoch", F.col(f"{base}e")).when(F.col(f"{base}o").isNotNull(), local - F.col(f"{base}o").cast("long") * 60 * US).when(needs, by_zone)
     said = (
         F.when(t.isNull() | (t == ""), "missing")
         .when(f.isNull(), "unparsed")
@@ -177,6 +186,6 @@ def normalise_timestamps(df: DataFrame, text: str, zone: str, out: str = "instan
         .when((F.size(c) > 1), "ok" if policy.ambiguous != "reject" else "ambiguous")
         .otherwise("ok")
     )
-    work = work.withColumns({f"{base}i": instant, f"{base}s": said})
+    work = _fenced(work, **{f"{base}i": instant, f"{base}s": said})
     keep = [F.col(f"`{x}`") for x in df.columns if x not in (out, status)]
     return work.select(*keep, F.col(f"{base}i").alias(out), F.col(f"{base}s").alias(status))

@@ -255,9 +255,11 @@ def neighbours(text: str):
     for r in READ_AS:
         for w in WRITTEN_IN:
             if r != w:
-                found = reread(text, r, w)
-                if found is not None:
-                    yield f"{r}>{w}", found
+                found, name = reread(text, r, w), f"{r}>{w}"
+                while found is not None:
+                    yield name, found
+                    # text garbled twice alike looks no better after one repair, so the second is tried at once
+                    found, name = reread(found, r, w) if w == "utf-8" and r in ("latin-1", "cp1252") and name.count("+") < 2 else None, f"{name}+{r}>{w}"
 
 
 def search(text: str) -> tuple[str, list[str], float, float]:

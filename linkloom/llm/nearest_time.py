@@ -2,7 +2,7 @@
 
 Both sides are cut into (key, time bucket) groups and hash-partitioned on them, so that one key with a third of all rows
 is spread over as many groups as it has buckets. A right row is sent to every bucket in which a left row within the
-tolerance may lie (one or two). Buckets that hold more left rows than ``max_group`` are salted: their left rows are dealt
+tolerance may lie (one or two, as buckets are longer than that). Buckets that hold more left rows than ``max_group`` are salted: their left rows are dealt
 out, their right rows repeated for each salt. Inside a task, groups are taken in sort order in chunks of bounded size, the
 right rows of a group before its left rows, so that memory depends on the chunk, never on the group.
 """
@@ -83,7 +83,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_ms: int, bucket
 
     bucket = lambda c: F.floor(c / F.lit(bucket_ms)).cast("long")
     lf = side(left).withColumn("b", bucket(F.col("t")))
-    rt = side(right).withColumn("b", F.explode(F.array_distinct(F.array(bucket(F.col("t") - tolerance_ms), bucket(F.col("t") + tolerance_ms)))))
+    rt = side(right).withColumn("b", F.explode(F.sequence(bucket(F.col("t") - tolerance_ms), bucket(F.col("t") + tolerance_ms))))
     hot = lf.groupBy("k", "b").count().where(F.col("count") > max_group)
     hot = hot.select("k", "b", F.ceil(F.col("count") / max_group).cast("int").alias("salts"))
     salts = F.coalesce(F.col("salts"), F.lit(1))

@@ -293,7 +293,7 @@ def examine(text: str) -> tuple[bool, str, list[str], bool]:
     """(garbled, text restored as far as possible, repairs, whether nothing of it is lost)."""
     suspect = _SOUND.sub("", text)
     plain_kanji = suspect and all(base_cost(ch)[1] == "c" for ch in suspect)
-    marks = _STRIPPED.search(text) or _REFERENCE.search(text) or _PERCENT.search(text) or _ESCAPE.search(text)
+    marks = _LOST.search(text) or _STRIPPED.search(text) or _REFERENCE.search(text) or _PERCENT.search(text) or _ESCAPE.search(text)
     if (not suspect or plain_kanji) and not marks:
         return False, text, [], True
     own, mass = cost_and_mass(text)

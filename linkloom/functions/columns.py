@@ -77,3 +77,23 @@ def same_parts(a: Column, b: Column, separators: str = "[/／]") -> Column:
 def one_edit_apart(a: Column, b: Column, least: int = 10) -> Column:
     """Whether two texts of at least ``least`` characters differ by one character changed or added."""
     return (F.least(F.length(a), F.length(b)) >= least) & (a != b) & (F.levenshtein(a, b) == 1)
+
+
+def search_keyword(title: Column) -> Column:
+    """The longest word of a title, Japanese words before others; of equals the first."""
+    words = F.filter(F.split(title, "[ 　]+"), lambda w: w != "")
+    ranked = F.transform(words, lambda w, i: F.struct(F.when(w.rlike("[ぁ-ヿ㐀-鿿]"), 1).otherwise(0).alias("j"), F.length(w).alias("n"), (-i).alias("i"), w.alias("w")))
+    return F.array_max(ranked)["w"]
+
+
+def search_variants(title: Column) -> Column:
+    """Spellings under which a title may be found, each once, in a fixed order."""
+    squeezed = F.replace(F.replace(title, F.lit(" "), F.lit("")), F.lit("　"), F.lit(""))
+    bare = F.regexp_replace(title, " ?(?:第[0-9]期|Season [0-9]|[0-9](?:nd|rd) Season|II|III)$", "")
+    made = F.array(title, narrow(title), squeezed, F.translate(title, "〜・～", "   "), bare)
+    return F.array_distinct(F.filter(made, lambda x: x != ""))
+
+
+def folder_hint(path: Column) -> Column:
+    """The name of a file's folder."""
+    return F.nullif(F.regexp_extract(path, "([^/]*)/[^/]*$", 1), F.lit(""))

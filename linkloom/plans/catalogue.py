@@ -395,6 +395,65 @@ def p20_fresh(spark, folder):
     return R.fresh(r.crossJoin(now), "loaded_at", F.col("now")).select("id").distinct()
 
 
+@query("""SELECT id, (list_sort(list_transform(range(1, len(w) + 1), lambda i: {'j': CASE WHEN regexp_matches(w[i], '[ぁ-ヿ㐀-鿿]') THEN 1 ELSE 0 END, 'n': length(w[i]), 'i': -i, 'w': w[i]}), 'DESC'))[1].w AS keyword
+FROM (SELECT id, list_filter(regexp_split_to_array(title, '[ 　]+'), lambda x: x <> '') AS w FROM works WHERE title IS NOT NULL)""")
+def e31_search_keyword(spark, folder):
+    """The word of a title to search a history by."""
+    return table(spark, folder, "works", "id", "title").where("title is not null").select("id", C.search_keyword(F.col("title")).alias("keyword"))
+
+
+@query(f"""SELECT id, array_to_string(list_filter(v, lambda x, i: x <> '' AND list_position(v, x) = i), '|') AS variants FROM (SELECT id, [title, translate(title, '{WIDE_SQL}', '{PLAIN_SQL}'), replace(replace(title, ' ', ''), '　', ''), translate(title, '〜・～', '   '), regexp_replace(title, ' ?(第[0-9]期|Season [0-9]|[0-9](nd|rd) Season|II|III)$', '')] AS v FROM works WHERE title IS NOT NULL)""")
+def n24_search_variants(spark, folder):
+    """Spellings to search a title by."""
+    return table(spark, folder, "works", "id", "title").where("title is not null").select("id", F.array_join(C.search_variants(F.col("title")), "|").alias("variants"))
+
+
+@query("SELECT meta_id, nullif(regexp_extract(path, '([^/]*)/[^/]*$', 1), '') AS folder FROM recording_metadata WHERE path IS NOT NULL")
+def e22_folder_hint(spark, folder):
+    return table(spark, folder, "recording_metadata", "meta_id", "path").where("path is not null").select("meta_id", C.folder_hint(F.col("path")).alias("folder"))
+
+
+@query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
+WHERE list_sort(list_filter(list_transform(string_split(a.p_name, ' '), lambda x: lower(x)), lambda x: x <> '')) = list_sort(list_filter(list_transform(string_split(b.p_name, ' '), lambda x: lower(x)), lambda x: x <> '')) AND len(list_filter(string_split(a.p_name, ' '), lambda x: x <> '')) >= 2""")
+def p18_same_parts(spark, folder):
+    """Names of one brand with the same words in any order: joined on the sorted words, not compared pair by pair."""
+    p = table(spark, folder, "part", "p_partkey", "p_brand", "p_name")
+    key = F.array_sort(F.filter(F.transform(F.split("p_name", " "), lambda x: F.lower(x)), lambda x: x != ""))
+    p = p.withColumn("k", key).where(F.size("k") >= 2).select("p_partkey", "p_brand", F.array_join("k", " ").alias("k"))
+    a, b = p.withColumnRenamed("p_partkey", "a"), p.withColumnRenamed("p_partkey", "b")
+    return a.join(b, ["p_brand", "k"]).where("a < b").select("a", "b")
+
+
+@query("""WITH v AS (SELECT DISTINCT id, unnest(map_values(raw_extended)) AS x FROM recordings WHERE raw_extended IS NOT NULL)
+SELECT id, count(DISTINCT x) AS kinds, CASE WHEN count(DISTINCT x) = 1 THEN min(x) END AS value FROM v WHERE trim(x) <> '' GROUP BY id""")
+def a21_fields_agree(spark, folder):
+    """Whether all extended fields of a recording say the same."""
+    r = table(spark, folder, "recordings", "id", "raw_extended").select("id", F.explode(F.map_values("raw_extended")).alias("x")).distinct()
+    return R.unique_or_null(r.where(F.trim("x") != ""), ["id"], "x", distinct=True).select("id", F.col("candidates").alias("kinds"), "value")
+
+
+@query("""SELECT w.id AS work_id, count(e.id) AS listed, coalesce(w.episodes_count, 0) > 0 AND count(e.id) >= coalesce(w.episodes_count, 0) AS complete FROM works w LEFT JOIN episodes e ON e.work_id = w.id GROUP BY w.id, w.episodes_count""")
+def p21_list_complete(spark, folder):
+    """Whether a work's list covers what it declares: an incomplete one proves nothing."""
+    n = table(spark, folder, "episodes", "id", "work_id").groupBy("work_id").agg(F.count("*").alias("n")).withColumnRenamed("work_id", "id")
+    w = table(spark, folder, "works", "id", "episodes_count").join(n, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return w.select(F.col("id").alias("work_id"), F.col("n").alias("listed"), ((F.coalesce("episodes_count", F.lit(0)) > 0) & (F.col("n") >= F.coalesce("episodes_count", F.lit(0)))).alias("complete"))
+
+
+@query("SELECT id, string_agg(filename, '|' ORDER BY filename) AS files FROM (SELECT DISTINCT id, unnest(video_files).filename AS filename FROM recordings) GROUP BY id")
+def a23_file_list(spark, folder):
+    """The files of a recording as one text, in order."""
+    r = table(spark, folder, "recordings", "id", "video_files").select("id", F.explode("video_files").alias("v")).select("id", F.col("v.filename").alias("filename")).distinct()
+    return r.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("filename")), "|").alias("files"))
+
+
+@query("SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, count(DISTINCT work_title) AS works, CASE WHEN count(DISTINCT work_title) = 1 THEN min(work_title) END AS work FROM recording_metadata WHERE work_title IS NOT NULL GROUP BY 1")
+def a19_folder_jobs(spark, folder):
+    """The one work of each folder, or none."""
+    m = table(spark, folder, "recording_metadata", "path", "work_title").where("work_title is not null").withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    return R.unique_or_null(m, ["folder"], "work_title", distinct=True).select("folder", F.col("candidates").alias("works"), F.col("value").alias("work"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

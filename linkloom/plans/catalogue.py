@@ -380,7 +380,7 @@ SELECT a.tid, a.count, a.subtitle AS a, b.subtitle AS b FROM s a JOIN s b ON a.t
 WHEN 0 THEN len(list_filter(range(1, length(a.subtitle) + 1), lambda i: substr(a.subtitle, i, 1) <> substr(b.subtitle, i, 1))) = 1
 WHEN 1 THEN len(list_filter(range(1, length(a.subtitle) + 1), lambda i: substr(a.subtitle, 1, i - 1) || substr(a.subtitle, i + 1) = b.subtitle)) > 0
 WHEN -1 THEN len(list_filter(range(1, length(b.subtitle) + 1), lambda i: substr(b.subtitle, 1, i - 1) || substr(b.subtitle, i + 1) = a.subtitle)) > 0 ELSE false END""")
-def p13_one_edit_apart(spark, folder):
+def f13_one_edit_apart(spark, folder):
     """Subtitles of one episode that differ by one character."""
     s = programs(spark, folder, "tid", "count", "subtitle").where("subtitle is not null and count > 0").select("tid", "count", "subtitle").distinct()
     a, b = s.withColumnRenamed("subtitle", "a"), s.withColumnRenamed("subtitle", "b")
@@ -388,7 +388,7 @@ def p13_one_edit_apart(spark, folder):
 
 
 @query("SELECT DISTINCT id FROM recordings WHERE loaded_at <= (SELECT max(loaded_at) FROM recordings) AND loaded_at >= (SELECT max(loaded_at) FROM recordings) - INTERVAL 7 DAY")
-def p20_fresh(spark, folder):
+def f20_fresh(spark, folder):
     """Records loaded in the last seven days."""
     r = table(spark, folder, "recordings", "id", "loaded_at")
     now = F.broadcast(r.agg(F.max("loaded_at").alias("now")))
@@ -415,7 +415,7 @@ def e22_folder_hint(spark, folder):
 
 @query("""SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
 WHERE list_sort(list_filter(list_transform(string_split(a.p_name, ' '), lambda x: lower(x)), lambda x: x <> '')) = list_sort(list_filter(list_transform(string_split(b.p_name, ' '), lambda x: lower(x)), lambda x: x <> '')) AND len(list_filter(string_split(a.p_name, ' '), lambda x: x <> '')) >= 2""")
-def p18_same_parts(spark, folder):
+def f18_same_parts(spark, folder):
     """Names of one brand with the same words in any order: joined on the sorted words, not compared pair by pair."""
     p = table(spark, folder, "part", "p_partkey", "p_brand", "p_name")
     key = F.array_sort(F.filter(F.transform(F.split("p_name", " "), lambda x: F.lower(x)), lambda x: x != ""))
@@ -433,7 +433,7 @@ def a21_fields_agree(spark, folder):
 
 
 @query("""SELECT w.id AS work_id, count(e.id) AS listed, coalesce(w.episodes_count, 0) > 0 AND count(e.id) >= coalesce(w.episodes_count, 0) AS complete FROM works w LEFT JOIN episodes e ON e.work_id = w.id GROUP BY w.id, w.episodes_count""")
-def p21_list_complete(spark, folder):
+def f21_list_complete(spark, folder):
     """Whether a work's list covers what it declares: an incomplete one proves nothing."""
     n = table(spark, folder, "episodes", "id", "work_id").groupBy("work_id").agg(F.count("*").alias("n")).withColumnRenamed("work_id", "id")
     w = table(spark, folder, "works", "id", "episodes_count").join(n, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -63,7 +63,7 @@ def folder_works(files: DataFrame) -> DataFrame:
     return g.select("folder", F.when(F.col("works") == 1, F.col("w")).alias("work_id"), "works")
 
 
-def sidecar_identity(texts: DataFrame, id_type: str = "annict") -> DataFrame:
+def sidecar_identity(texts: DataFrame, id_type: str) -> DataFrame:
     """(folder, work_id, ids) of sidecars(folder, nfo, json): the id that all of a folder's sidecars name, null where they differ.
 
     nfo is XML with <uniqueid type="...">, json is {"work_id": n}; either may be missing.

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The field names of the answers.
 WORK = "struct<annictId:int,title:string,media:string,titleKana:string,syobocalTid:int,seasonName:string,seasonYear:int,episodesCount:int,watchersCount:int,episodes:struct<pageInfo:struct<hasNextPage:boolean>,edges:array<struct<node:struct<annictId:int,number:string,numberText:string,sortNumber:int,title:string>>>>>"
 SEARCH = f"struct<data:struct<searchWorks:struct<pageInfo:struct<hasNextPage:boolean>,edges:array<struct<node:{WORK}>>>>,errors:array<struct<message:string>>>"
 HISTORY = "struct<total:int,records:array<struct<id:bigint,channelId:bigint,startAt:bigint,endAt:bigint,name:string,description:string,extended:string,rawExtended:map<string,string>,isRecording:boolean,isEncoding:boolean,videoFiles:array<struct<filename:string>>>>>"

@@ -19,9 +19,9 @@ def test_files(spark, tmp_path):
     assert files.recordings_in_store(spark, str(tmp_path)).count() >= 4
     jobs = spark.createDataFrame([("/w/a.ts", 1), ("/w/duplicate/a (1).ts", 1), ("/v/a.ts", 1), ("/v/b.ts", 2), ("/u/x.ts", None)], "path string, work_id int")
     assert sorted(tuple(r) for r in files.folder_works(jobs).collect()) == [("/v", None, 2), ("/w", 1, 1)]
-    nfo = '<tvshow><uniqueid type="other">5</uniqueid><uniqueid type="annict">7</uniqueid></tvshow>'
+    nfo = '<tvshow><uniqueid type="other">5</uniqueid><uniqueid type="catalogue">7</uniqueid></tvshow>'
     side = spark.createDataFrame([("a", nfo, '{"work_id": 7}'), ("b", nfo, '{"work_id": 8}'), ("c", None, None), ("d", None, '{"work_id": 3}')], "folder string, nfo string, json string")
-    assert sorted(tuple(r) for r in files.sidecar_identity(side).collect()) == [("a", 7, 1), ("b", None, 2), ("d", 3, 1)]
+    assert sorted(tuple(r) for r in files.sidecar_identity(side, "catalogue").collect()) == [("a", 7, 1), ("b", None, 2), ("d", 3, 1)]
 
 
 def test_wire(spark):

@@ -122,7 +122,7 @@ def a07_final_number(spark, folder):
 
 
 @query("""WITH g AS (SELECT work_id FROM episodes GROUP BY work_id HAVING count(*) = count(DISTINCT sort_number) AND min(coalesce(sort_number, 0)) > 0)
-SELECT work_id, id, row_number() OVER (PARTITION BY work_id ORDER BY sort_number) AS ordinal FROM episodes SEMI JOIN g USING (work_id)""")
+SELECT work_id, id, CAST(row_number() OVER (PARTITION BY work_id ORDER BY sort_number) AS INTEGER) AS ordinal FROM episodes SEMI JOIN g USING (work_id)""")
 def a08_ordinals(spark, folder):
     """The place of an episode in its work's list."""
     return R.ordinals(table(spark, folder, "episodes", "id", "work_id", "sort_number"), "work_id", "sort_number", ["id"])
@@ -135,7 +135,7 @@ LABEL_SQL = f"CASE WHEN regexp_full_match({key_sql('number_text')}, '第?[0-9]{{
 g AS (SELECT work_id FROM e GROUP BY work_id HAVING count(*) = count(DISTINCT sort_number) AND min(coalesce(sort_number, 0)) > 0),
 r AS (SELECT work_id, id, n, row_number() OVER (PARTITION BY work_id ORDER BY sort_number) AS o FROM e SEMI JOIN g USING (work_id)),
 h AS (SELECT work_id FROM r GROUP BY work_id HAVING count(*) = count(n) AND min(n - o) = max(n - o) AND min(n - o) > 0)
-SELECT work_id, id, n, o AS local FROM r SEMI JOIN h USING (work_id)""")
+SELECT work_id, id, n, CAST(o AS INTEGER) AS local FROM r SEMI JOIN h USING (work_id)""")
 def a09_local_ordinals(spark, folder):
     """Local numbers of works that count on from an earlier season."""
     e = table(spark, folder, "episodes", "id", "work_id", "number_text", "sort_number").select("id", "work_id", "sort_number", C.label_number(F.col("number_text")).alias("n"))
@@ -328,7 +328,7 @@ def w01_best_row(spark, folder):
     return R.top_one(p, "tid", score, ["t", "pid"], ["pid"], least=10)
 
 
-@query(f"""SELECT meta_id, target, row_number() OVER (PARTITION BY target ORDER BY path, meta_id) - 1 AS copy FROM
+@query(f"""SELECT meta_id, target, CAST(row_number() OVER (PARTITION BY target ORDER BY path, meta_id) - 1 AS INTEGER) AS copy FROM
 (SELECT meta_id, path, work_title || ' #' || coalesce(CAST(nullif(greatest(episode_number, 0), 0) AS VARCHAR), '?') AS target FROM recording_metadata WHERE work_title IS NOT NULL)""")
 def w02_duplicate_numbers(spark, folder):
     """The number of each claimant of one target name, in the order of paths."""

@@ -3,8 +3,8 @@
 Both sides are levelled to a stream of letters and digits: width, case, blanks, line breaks, punctuation, quoting and
 markup fall away. The n-grams of all items form one hash set, broadcast to the tasks; the windows of every document are
 looked up in it. Each hit is verified on the spot: the match is extended to both sides through single changed, lost or
-added characters, and the longest run is held against the length of the item. N-grams that many items share are stock
-phrases and start no match, but runs go through them.
+added characters, and the longest run is held against the length of the item. Every n-gram starts matches, also one that
+many items share: a passage that stands in many items is found for each of them, and stock phrases fail by their length.
 
 The set is bounded: items are taken in blocks of at most ``block_chars`` characters, each block one pass over the
 documents, so that no broadcast grows with the number of items. No document is shuffled, so no site, language or length
@@ -80,46 +80,55 @@ def extend(doc: str, item: str, i: int, j: int, step: int, anchor: int) -> tuple
 
 
 class ItemIndex:
-    """The hash set of a block of items."""
+    """The hash set of a block of items; items of one levelled text are held once.
 
-    def __init__(self, items: tuple[tuple[int, str], ...], gram: int, shared: int) -> None:
+    ``shared``: n-grams that more than so many texts hold start no match; None, as ``find_leaks`` has it: all of them do.
+    """
+
+    def __init__(self, items: tuple[tuple[int, str], ...], gram: int, shared: int | None = None) -> None:
         self.gram = gram
-        self.items = {k: level(t) for k, t in items}
+        ids: dict[str, list[int]] = defaultdict(list)
+        for k, t in items:
+            ids[level(t)].append(k)
+        self.texts, self.ids = list(ids), list(ids.values())
         where: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        texts: dict[str, set[str]] = defaultdict(set)
-        for k, t in self.items.items():
+        for x, t in enumerate(self.texts):
             for p in range(len(t) - gram + 1):
-                where[t[p : p + gram]].append((k, p))
-                texts[t[p : p + gram]].add(t)
-        self.where = {g: w for g, w in where.items() if len(texts[g]) <= shared}
+                where[t[p : p + gram]].append((x, p))
+        self.where = where if shared is None else {g: w for g, w in where.items() if len({x for x, _ in w}) <= shared}
 
-    def runs(self, doc: str, anchor: int, gap: int = 6) -> dict[int, tuple[int, int, int]]:
-        """The longest run with each item hit: (characters of the item, first and end place in ``doc``)."""
+    def runs(self, doc: str, anchor: int, gap: int = 6) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """The longest run with each item hit, by (item id, characters of the item): (of the run, first and end place in ``doc``)."""
         gram, where = self.gram, self.where
         best: dict[int, tuple[int, int, int]] = {}
-        ends: dict[int, tuple[int, int, int, int]] = {}
+        covered: dict[tuple[int, int], int] = {}  # by text and diagonal: where in the document its runs end
+        ends: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)  # by text and end in the document
         for i in range(len(doc) - gram + 1):
             hits = where.get(doc[i : i + gram])
             if hits is None:
                 continue
-            for k, j in hits:
-                done = ends.get(k)
-                if done and i < done[0] and j < done[1]:
-                    continue  # a hit inside the run before
-                item = self.items[k]
+            for x, j in hits:
+                if i < covered.get((x, i - j), 0):
+                    continue  # a hit inside a run before
+                item = self.texts[x]
                 a, b = extend(doc, item, i + gram, j + gram, 1, anchor)
                 c, d = extend(doc, item, i - 1, j - 1, -1, anchor)
-                if done and -gap <= c + 1 - done[0] <= gap and -gap <= d + 1 - done[1] <= gap:
-                    c, d = done[2], done[3]  # a few changed characters close together don't part two runs
-                ends[k] = (a, b, c, d)
-                if b - d - 1 > best.get(k, (0, 0, 0))[0]:
-                    best[k] = (b - d - 1, c + 1, a)
-        return best
+                # a few changed characters close together don't part two runs
+                near = [(d2, c2) for e in range(c + 1 - gap, c + 2 + gap) for b2, c2, d2 in ends.get((x, e), ()) if -gap <= d + 1 - b2 <= gap and c2 < c and d2 < d]
+                if near:
+                    d, c = min(near)
+                covered[x, i - j] = max(a, covered.get((x, i - j), 0))
+                covered[x, a - b] = max(a, covered.get((x, a - b), 0))
+                if (b, c, d) not in ends[x, a]:
+                    ends[x, a].append((b, c, d))
+                if b - d - 1 > best.get(x, (0, 0, 0))[0]:
+                    best[x] = (b - d - 1, c + 1, a)
+        return {(k, len(self.texts[x])): found for x, found in best.items() for k in self.ids[x]}
 
 
 @lru_cache(maxsize=2)
-def _index(items: tuple[tuple[int, str], ...], gram: int, shared: int) -> ItemIndex:
-    return ItemIndex(items, gram, shared)
+def _index(items: tuple[tuple[int, str], ...], gram: int) -> ItemIndex:
+    return ItemIndex(items, gram)
 
 
 def item_blocks(items: DataFrame, block_chars: int) -> list[tuple[tuple[int, str], ...]]:
@@ -139,7 +148,7 @@ def item_blocks(items: DataFrame, block_chars: int) -> list[tuple[tuple[int, str
     return [tuple(b) for b in blocks]
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.4, gram: int = 10, shared: int = 3, anchor: int = 4, block_chars: int = 4_000_000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.4, gram: int = 10, anchor: int = 4, block_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, run_chars, item_chars, run_share, start, end): documents that hold ``share`` of an item in one run.
 
     documents(doc_id, text), items(item_id, text). Lengths are of levelled texts; start and end are places in the
@@ -152,14 +161,13 @@ def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.4, gram:
     for block in item_blocks(items, block_chars):
 
         def scan(batches, block=block):
-            index = _index(block, gram, shared)
+            index = _index(block, gram)
             for pdf in batches:
                 rows = []
                 for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                     if text is None:
                         continue
-                    for k, (n, a, b) in index.runs(level(text), anchor).items():
-                        size = len(index.items[k])
+                    for (k, size), (n, a, b) in index.runs(level(text), anchor).items():
                         if n >= share * size:
                             rows.append((doc_id, k, n, size, n / size, a, b))
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run_chars", "item_chars", "run_share", "start", "end"])

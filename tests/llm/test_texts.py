@@ -103,6 +103,23 @@ def test_shared_grams_are_no_seeds():
     assert index.runs(level(stock), 4) == {}
 
 
+def test_passages_of_many_items_are_found(spark):
+    items = [(i, ITEM + f"問{i}、" + chr(0x4E00 + i) * 9) for i in range(6)] + [(90, ITEM + "問0、" + chr(0x4E00) * 9)]
+    df = spark.createDataFrame([(1, "前置き。" + ITEM + "後書き。"), (2, ITEM[:20])], "doc_id long, text string")
+    wanted = {(1, k) for k, _ in items}
+    for chars in (4_000_000, 200, 10):
+        found = find_leaks(df, spark.createDataFrame(items, "item_id long, text string"), block_chars=chars).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in found} == wanted and len({(r["run_chars"], r["start"], r["end"]) for r in found}) == 1
+
+
+def test_changes_close_together_part_no_run_beside_a_stock_phrase():
+    item = level(ITEM)
+    stock = "次回もお楽しみに今週は"
+    text = item[:30] + stock + item[30:]
+    doc = item[:30] + stock[:2] + "XYZ" + stock[5:] + item[30:]
+    assert ItemIndex(((1, text), (2, stock + item[:25])), 10).runs(doc, 4)[1, len(text)][0] >= 0.9 * len(text)
+
+
 PROSE = "編集は狐火の切り返しが速く、ユラキの表情を39回も重ねている。限定特典の冊子にエマオのクジラを描いた空飛ぶ地図が付き、通販では34分で品切れになった。"
 
 

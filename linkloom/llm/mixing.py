@@ -2,15 +2,18 @@
 
 A source of weight w is a stream of blocks of equal size; its k-th block may be emitted from slot floor(k / w) on and must
 be emitted before slot ceil((k + 1) / w). Earliest-deadline-first over these windows keeps every source within one block
-of its fluid share at any moment. Weights are taken as integer shares of a period, after which all deviations are zero
-again, so one period, of bounded length, is scheduled and holds for every later one: the slot of any block then follows
-by arithmetic, and documents are placed without any order over the whole corpus being made in one task.
+of its fluid share at any moment. Weights are whole shares of a period, after which all deviations are zero again, so one
+period, of bounded length, is scheduled and holds for every later one: the slot of any block then follows by arithmetic,
+and documents are placed without any order over the whole corpus being made in one task. The period is chosen from the
+targets, so that no source's share is rounded away: see ``mix_period``.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import math
+from fractions import Fraction
 from functools import lru_cache
 
 import pandas as pd
@@ -24,6 +27,8 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Sources that a mix may name: their rows, and one period of the schedule, are held on the driver.
 MAX_SOURCES = 10_000
+#: Slots of a period held on the driver; only a longer mix whose shares are whole in no shorter period is approximated.
+MAX_PERIOD = 200_000
 
 
 @lru_cache(maxsize=4)
@@ -59,6 +64,35 @@ def period_shares(weights: dict[str, float], period: int) -> dict[str, int]:
     return whole
 
 
+def mix_period(wanted: list[tuple[str, float, int]], total: int, block_tokens: int, period: int) -> tuple[dict[str, int], int, int]:
+    """(share of each source, slots of the period they are shares of, slots of the mix): every source of ``wanted`` has a slot.
+
+    ``period`` where all shares are whole in it, else the shortest in which they are. Where that is beyond MAX_PERIOD, the
+    whole mix is one period, each source with as many slots as its target has blocks. Where that is too long as well,
+    shares are rounded up to 1/MAX_PERIOD: nothing of a target is left out, but the mix takes up to 1 + sources/MAX_PERIOD
+    times as many slots.
+    """
+    all_ = sum(w for _, w, _ in wanted)
+    weights = {s: w / all_ if all_ > 1 + 1e-9 else w for s, w, _ in wanted}
+    length = -(-total // block_tokens)
+    exact = {s: Fraction(w).limit_denominator(MAX_PERIOD) for s, w in weights.items()}
+    if all(abs(x - weights[s]) <= 1e-12 for s, x in exact.items()) and sum(exact.values()) <= 1:
+        least = 1
+        for x in exact.values():
+            least = math.lcm(least, x.denominator)
+            if least > MAX_PERIOD:
+                break
+        for p in (period, least):
+            if p <= MAX_PERIOD and p % least == 0:
+                return {s: int(x * p) for s, x in exact.items()}, p, length
+    whole = {s: max(1, -(-int(w * total) // block_tokens)) for s, w, _ in wanted}
+    slots = max(length, sum(whole.values()))
+    if slots <= MAX_PERIOD:
+        return whole, slots, slots
+    rounded = {s: max(1, math.ceil(w * MAX_PERIOD - 1e-6)) for s, w in weights.items()}
+    return rounded, max(MAX_PERIOD, sum(rounded.values())), length
+
+
 def pfair_period(shares: dict[str, int], period: int) -> list[tuple[str, int, int, int, int]]:
     """One period of the schedule: (source, k, release, deadline, slot) of every block, by earliest deadline first."""
     starts: dict[int, list] = {}
@@ -114,14 +148,14 @@ def mix_report(sized: DataFrame, targets: DataFrame, block_tokens: int = 4096, p
     """One row per target source: what a mix as large as all documents together gives it; columns as in REPORT.
 
     blocks counts the blocks whose deadline lies inside the mix, blocks_missed those that the source, all its documents
-    used max_repeats times, has nothing left for. filled is false where the tokens do not reach the target. Actual shares
+    used max_repeats times, has nothing left for. The period is that of ``mix_schedule``, where each source has all blocks
+    of its target, so the tokens delivered are those of the schedule (but for the rest of the last document). filled is false where the tokens do not reach the target. Actual shares
     are of all tokens delivered. Without documents or targets the report is empty or all zero; sources of documents
     without a target are not mixed in but count towards the size.
     """
     wanted = _targets(targets)
     total, supply = _supplies(sized, [s for s, _, _ in wanted])
-    shares = period_shares({s: w for s, w, _ in wanted}, period)
-    slots = -(-total // block_tokens)
+    shares, period, slots = mix_period(wanted, total, block_tokens, period)
     rows = []
     for s, w, r in wanted:
         n, t = supply.get(s, (0, 0))
@@ -149,9 +183,9 @@ def mix_schedule(sized: DataFrame, targets: DataFrame, block_tokens: int = 4096,
     sized = checkpointed(sized)
     wanted = _targets(targets)
     total, supply = _supplies(sized, [s for s, _, _ in wanted])
-    shares = period_shares({s: w for s, w, _ in wanted}, period)
+    shares, period, _ = mix_period(wanted, total, block_tokens, period)
     plan = spark.createDataFrame(
-        [(s, int(w * total), r, shares[s], supply[s][1], max(1, -(-supply[s][0] // rows_per_bucket))) for s, w, r in wanted if s in supply and shares[s]],
+        [(s, int(w * total), r, shares[s], supply[s][1], max(1, -(-supply[s][0] // rows_per_bucket))) for s, w, r in wanted if s in supply],
         "source string, target bigint, cap int, share int, supply bigint, buckets int",
     )
     slots = spark.createDataFrame([(s, k, slot) for s, k, _, _, slot in pfair_period(shares, period)], "source string, k bigint, slot_in_period bigint")

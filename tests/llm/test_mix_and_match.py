@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkloom.llm.entity import belief_propagation, edit_distance, match_recordings, take_apart
-from linkloom.llm.mixing import mix_report, mix_schedule, period_shares, pfair_period
+from linkloom.llm import mixing
+from linkloom.llm.mixing import mix_period, mix_report, mix_schedule, period_shares, pfair_period
 
 
 def test_pfair_keeps_within_one_block():
@@ -48,6 +49,36 @@ def test_mix(spark):
     assert mix_report(sized(spark, rows), targets.limit(0)).count() == 0
 
 
+def test_no_small_share_is_rounded_away(spark):
+    rows = [(i, f"s{i % 1500}", 10) for i in range(6_000)] + [(10_000 + i, "big", 10) for i in range(6_000)] + [(99_999, "odd", 40)]
+    for odd in (0.0, 0.00012345):
+        wanted = [(f"s{i}", 0.5 / 1500, 1) for i in range(1500)] + [("big", 0.5 - odd, 1), ("odd", odd, 1)]
+        targets = spark.createDataFrame(wanted, "source string, target_share double, max_repeats int")
+        report = {r["source"]: r["delivered_tokens"] for r in mix_report(sized(spark, rows), targets, block_tokens=20).collect()}
+        out = mix_schedule(sized(spark, rows), targets, block_tokens=20).collect()
+        sent = dict.fromkeys(report, 0)
+        for r in out:
+            sent[r["source"]] += 40 if r["source"] == "odd" else 10
+        assert len(report) == 1501 + (odd > 0) and min(sent.values()) > 0 and all(report[s] <= sent[s] < report[s] + 40 for s in report)
+        assert len({(r["slot"], r["source"]) for r in out}) == len({r["slot"] for r in out})
+
+
+def test_periods_of_mixes():
+    mix = lambda *w: [(f"s{i}", x, 1) for i, x in enumerate(w)]
+    assert mix_period(mix(0.16, 0.84), 10**12, 4096, 1000) == ({"s0": 160, "s1": 840}, 1000, 244_140_625)
+    assert mix_period(mix(0.0014, 0.9986), 10**12, 4096, 1000) == ({"s0": 7, "s1": 4993}, 5000, 244_140_625)
+    for total in (10_000, 10**12):
+        for weights in ((0.0000123456789, 0.5, 0.3), (2.0, 3.0, 0.00001), tuple(1 / 3001 for _ in range(3000)), (3.14159e-7, 0.9)):
+            wanted = mix(*weights)
+            shares, period, _ = mix_period(wanted, total, 4, 1000)
+            assert min(shares.values()) >= 1 and sum(shares.values()) <= period <= mixing.MAX_PERIOD + len(wanted)
+            assert len(pfair_period(shares, period)) == sum(shares.values())
+            if total == 10_000:  # nothing runs past the end of the mix
+                slots = max(-(-total // 4), sum(-(-int(w * total) // 4) for _, w, _ in wanted))
+                blocks = {s: -(-int(w * total) // 4) for s, w, _ in wanted}
+                assert period % slots == 0 or all(blocks[s] <= -(-slots * n // period) for s, n in shares.items())
+
+
 def test_names_are_taken_apart():
     x = take_apart("[字]孤独な転校生 Trémolo2 第3回「逆さの図書室とカメラの行方」[再]")
     assert (x["base"], x["season"], x["number"], x["subtitle"]) == ("孤独な転校生trémolo", 2, "3", "逆さの図書室とカメラの行方")

@@ -3,8 +3,9 @@
 A text is a node of a graph; its edges are repairs: encode with one charset and decode with another, read stripped
 escape sequences again, unescape references. A best-first search with visited states starts at the text as it is, always
 expands the most plausible text found so far, and ends at the cheapest one reachable. Plausibility is a cost summed over
-characters, by class and neighbourhood. A text is garbled where the search finds a clearly cheaper one, or where it
-holds characters that no sound text has and that no repair removes.
+characters, by class and neighbourhood. A text is garbled where the search finds a clearly cheaper one, where single
+letters of it are whole in UTF-8 and leave sound text, or where it holds characters that no sound text has and that no
+repair removes.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ READ_AS = ["latin-1", "cp1252", "cp1251", "koi8-r", "cp866", "cp437", "mac-roman
 WRITTEN_IN = ["utf-8", "cp932", "euc_jp"]
 #: Repairs in a row, and texts expanded, at most for one value.
 MAX_DEPTH, MAX_STATES = 4, 24
-#: What a repair must save to count, in all and as a share of the cost.
+#: What a repair must save to count, in all and as a share of the cost; letters that are whole in UTF-8 need not (``letters_restored``).
 MIN_GAIN, MIN_SHARE = 3.0, 0.12
 #: Mass of impossible characters at which a text counts as garbled beyond repair.
 MIN_MASS = 3.0
@@ -227,6 +228,32 @@ def reread(text: str, read_as: str, written_in: str) -> str | None:
     return None if joined == text else joined
 
 
+@lru_cache(maxsize=None)
+def _letter_pairs() -> tuple[re.Pattern, dict[str, int]]:
+    """Two characters that are one in UTF-8, read as Latin-1 or cp1252; and the bytes of the second."""
+    low = {chr(b): b for b in range(0x80, 0xC0)} | {ch: b[0] for ch, b in _single_byte("cp1252").items() if 0x80 <= b[0] < 0xC0}
+    return re.compile(f"([Â-ß])([{re.escape(''.join(low))}])"), low
+
+
+def letters_restored(text: str) -> str:
+    """``text`` with single letters (and signs of Latin-1) that were written in UTF-8 and read as Latin-1 or cp1252 restored.
+
+    A capital at the end of a word before a closing sign, as in «RENÉ», is left: it may be meant.
+    """
+    pattern, low = _letter_pairs()
+
+    def one(m: re.Match) -> str:
+        ch = bytes([ord(m[1]), low[m[2]]]).decode("utf-8")
+        before, after = text[: m.start()][-1:], text[m.end() :][:1]
+        if m[2] in "»”’“‘›…–—™®©" and not after.isalpha() and (before.isupper() or m[1] not in "ÂÃ"):
+            return m[0]
+        c = ord(ch)
+        fits = c < 0x100 or (c < 0x250 or 0x370 <= c < 0x460) and ch.isalpha()
+        return ch if fits else m[0]
+
+    return pattern.sub(one, text)
+
+
 def _iso2022(m: re.Match) -> str:
     try:
         return (b"\x1b$B" + m[1].encode("ascii") + b"\x1b(B").decode("iso2022_jp")
@@ -300,7 +327,15 @@ def examine(text: str) -> tuple[bool, str, list[str], bool]:
     if _LOST.search(text):
         mass += MIN_MASS
     best, path, cost, _ = search(text)
-    if path and own - cost >= max(MIN_GAIN, MIN_SHARE * min(own, 40)):
+    clear = bool(path) and own - cost >= max(MIN_GAIN, MIN_SHARE * min(own, 40))
+    found = letters_restored(text)
+    # a lone sign as in "20Â°C" is one in UTF-8 rather than a kanji among plain characters
+    lone = sum(ch > "\x7f" for ch in text) == 2 and not any("utf-8" in x for x in path)
+    if found != text and (lone or not clear):
+        now, left = cost_and_mass(found)
+        if now < own and left < MIN_MASS:
+            return True, found, ["letters>utf-8"], True
+    if clear:
         return True, best, path, cost_and_mass(best)[1] < 1
     return mass >= MIN_MASS, text, [], mass < 1
 

@@ -1,9 +1,10 @@
 import random
+import re
 import unicodedata
 
 from linkloom.llm.leaks import ItemIndex, extend, find_leaks, level, level_with_map, remove_leaks
 from linkloom.llm.lookalike import character_map, lookalike_classes, lookalike_pairs, skeleton, unify_texts
-from linkloom.llm.mojibake import examine, find_garbled, reread
+from linkloom.llm.mojibake import examine, find_garbled, letters_restored, reread
 from linkloom.llm.stuffing import dissect, stuffed_pages
 
 SOUND = ["テレビアニメ　孤独な転校生 Trémolo 第2期#13 「あべこべ停留所とギターの夜!」[再]", "Ωμέγα研究所 #18", "ドラマ「Восток」第5回", "ÀLA CARTE Ñandú 13", "ﾃﾚﾋﾞｱﾆﾒ　遠い剣舞 Nimbus", "作画は極光の質感に力が入っていて、丁寧に描かれている。", "", " ", "C&A 100% ½", "[解][字]黒いピアノ Ｔｒéｍｏｌｏ▼＃１９"]
@@ -33,6 +34,18 @@ def test_garbled_texts_are_restored():
     assert reread("abc", "latin-1", "utf-8") is None
 
 
+def test_single_garbled_letters_are_restored():
+    for text in ("Café", "São", "Façade", "Naïve", "Trémolo", "Pêche", "Étoile", "黒いピアノ Trémolo 第3話", "Yūki 12", "20°C"):
+        for read in ("latin-1", "cp1252"):
+            try:
+                bad = text.encode("utf-8").decode(read) if text.isascii() or not re.search("[぀-鿿]", text) else "".join(c.encode("utf-8").decode(read) if "À" <= c < "ɐ" else c for c in text)
+            except UnicodeDecodeError:
+                continue
+            assert examine(bad)[:2] == (True, text), (bad, examine(bad))
+    for text in ("«CAFÉ»", "“RENÉ”", "RENÉ™", "»Ö«", "Ñandú…", "Über – Ä", "LÀ… ÉTÉ—", "Ålesund", "20°C", "±5 §3"):
+        assert letters_restored(text) == text, text
+
+
 def test_find_garbled_rows(spark):
     rows = [(1, "name", None, 5), (2, "name", "", 5), (3, "name", "Ã©tÃ©", 5), (3, "name", "Ã©tÃ©", 5), (4, "name", "あ" * 30_000, 5)]
     df = spark.createDataFrame(rows, "id int, field string, text string, garbled int")

@@ -1,7 +1,8 @@
 """Linking recordings to the catalogue, fail-closed: exactly one episode, or none and the reasons.
 
 Stages are set-oriented: titles are matched once for each distinct title, evidence is a long table of (recording, episode,
-tier), tiers are counted and decided in one expression, and only what stays open is proved from the schedule.
+tier), tiers are counted and decided in one expression, and only what stays open is proved from the schedule: by rows that
+agree, by the channel that the batch itself trusts, by doubtful rows that several channels tell alike.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from linkloom.functions import columns as C
 from linkloom.functions import text as T
@@ -33,6 +35,9 @@ class LinkOptions:
 #: Tiers of episode evidence in order, and whether two candidates in one veto the rest.
 TIERS = [("number and subtitle", True), ("subtitle", False), ("label", True), ("number", True)]
 
+#: Tiers that the schedule proves.
+PROOFS = ["schedule", "trusted channel", "corroborated schedule"]
+
 
 def parse_recordings(files: DataFrame, path: str = "path") -> DataFrame:
     """files with a record id (rec) and the fields of their names beside all other columns."""
@@ -99,12 +104,84 @@ def schedule_proof(records: DataFrame, works: DataFrame, pairs: DataFrame, episo
     return R.cross_group(one, ["rec"], F.lit(True), F.lit(False), "value").where("value is not null").select("rec", F.col("value").alias("episode_id")).join(episodes.select("episode_id", "work_id"), "episode_id")
 
 
+@F.pandas_udf(BooleanType())
+def _agrees(titles: pd.Series, said: pd.Series) -> pd.Series:
+    """Whether a subtitle tells an episode's title: the same, the same stories in any order, or some of them side by side."""
+    out = []
+    for a, b in zip(titles, said, strict=True):
+        if not a or not b:
+            out.append(False)
+            continue
+        x, y = T.segments(a), T.segments(b)
+        out.append(T.scoring_key(a) == T.scoring_key(b) != "" or sorted(x) == sorted(y) != [] or T.contiguous_part(y, x))
+    return pd.Series(out, dtype=object)
+
+
+def schedule_recovery(records: DataFrame, works: DataFrame, pairs: DataFrame, episodes: DataFrame, programs: DataFrame, direct: DataFrame) -> DataFrame:
+    """(rec, episode_id, work_id, tier): dated recordings that ``schedule_proof`` leaves, by trusted channel or corroborated rows.
+
+    A work's channel is trusted where two marks (day, number) of ``direct``(rec, episode_id) are each aired by one channel,
+    the same for all: then only its rows need to agree. A day of doubtful rows alone counts where two channels or more tell
+    one number and the episode's title. Subtitles of rows and name must not differ from the title. A candidate work that has
+    clean rows on the day or no place in the schedule, and no answer, vetoes the others. programs has channel_id and subtitle too.
+    """
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor((F.col("t") + 9 * 3_600_000) / 86_400_000).cast("int"))
+    # plans are cut here and below: each is read several times, and one plan of all would fill the driver
+    rows = programs.where(~F.col("deleted") & (F.col("count") > 0)).withColumn("day", day).withColumn("subtitle", F.nullif(F.trim("subtitle"), F.lit("")))
+    rows = checkpointed(rows.select("tid", "day", "count", "channel_id", "subtitle", "warn"))
+    clean = rows.where(~F.col("warn"))
+    tids = works.select("work_id", "tid")
+    titles = episodes.where("n is not null").select("work_id", "n", "episode_id", F.nullif(F.trim("episode_title"), F.lit("")).alias("title"))
+
+    def named(agreed: DataFrame, against: DataFrame | None, tier: str) -> DataFrame:
+        """The episode of each agreed (work_id, tid, day, n), without those that a subtitle of the rows contradicts."""
+        one = R.unique_or_null(titles, ["work_id", "n"], "episode_id").where("value is not null").select("work_id", "n", F.col("value").alias("episode_id"))
+        told = agreed.join(one, ["work_id", "n"]).join(titles.select("episode_id", "title"), "episode_id")
+        if tier == "corroborated schedule":
+            told = told.where("title is not null")
+        if against is None:
+            return told.select("work_id", "day", "n", "episode_id", "title", F.lit(tier).alias("tier"))
+        wrong = told.where("title is not null").join(against.where("subtitle is not null"), ["work_id", "tid", "day"]).where(~_agrees("title", "subtitle")).select("work_id", "day").distinct()
+        return told.join(wrong, ["work_id", "day"], "left_anti").select("work_id", "day", "n", "episode_id", "title", F.lit(tier).alias("tier"))
+
+    dated = records.where("recorded_date is not null").select("rec", F.col("recorded_date").alias("day"), "episode_number", "subtitle", "part")
+    sure = direct.select("rec", "episode_id").join(dated, "rec").join(episodes.where("n is not null").select("episode_id", "work_id", "n", "episode_title", F.col("part").alias("epart")), "episode_id")
+    sure = sure.where(_subtitle_points(F.col("subtitle"), F.col("episode_title"), F.col("part"), F.col("epart")) >= PARTLY).select("work_id", "day", "n", "episode_title").distinct().join(tids, "work_id")
+    aired = sure.join(clean.where("channel_id > 0").select("tid", "day", F.col("count").alias("n"), "channel_id", "subtitle"), ["tid", "day", "n"])
+    aired = aired.where((F.coalesce(F.length("episode_title"), F.lit(0)) == 0) | F.col("subtitle").isNull() | _agrees("episode_title", "subtitle"))
+    marks = R.unique_or_null(aired, ["work_id", "day", "n"], "channel_id", distinct=True).where("value is not null").withColumnRenamed("value", "channel_id")
+    trusted = checkpointed(R.anchors(marks, "work_id", ["day", "n"], "channel_id", ["day"]).select("work_id", F.col("witness").alias("channel_id")))
+    own = clean.join(trusted.join(tids, "work_id"), ["tid", "channel_id"])
+    by_channel = R.unanimous(own, ["work_id", "tid", "day"], "count", F.lit(True)).where("value is not null").withColumnRenamed("value", "n")
+    doubted = R.corroborated(rows, ["tid", "day"], "count", "channel_id", F.col("warn"), "subtitle").select("tid", "day", F.col("value").alias("n")).join(tids, "tid")
+    plain = R.unanimous(clean, ["tid", "day"], "count", F.lit(True)).where("value is not null").select("tid", "day", F.col("value").alias("n")).join(tids, "tid")
+    # the tier asked for first comes first; (work, day) has one answer a tier
+    told = (
+        named(plain, None, "schedule")
+        .unionByName(named(by_channel, own, "trusted channel"))
+        .unionByName(named(doubted, rows.where("warn").join(tids, "tid"), "corroborated schedule"))
+    )
+    asked = dated.join(direct.select("rec"), "rec", "left_anti").join(pairs, "rec").join(tids, "work_id")
+    fits = asked.join(told, ["work_id", "day"]).where("episode_number is null or episode_number = n")
+    fits = fits.where((F.col("tier") == "schedule") | (F.coalesce(F.length("subtitle"), F.lit(0)) == 0) | _agrees("title", "subtitle"))
+    rank = F.when(F.col("tier") == "schedule", 0).when(F.col("tier") == "trusted channel", 1).otherwise(2)
+    best = fits.groupBy("rec", "work_id").agg(F.min_by(F.struct("episode_id", "tier"), rank).alias("b"))
+    usable = clean.select("tid", "day").distinct().withColumn("usable", F.lit(True))
+    every = asked.select("rec", "work_id", "tid", "day").join(usable, ["tid", "day"], "left").join(best, ["rec", "work_id"], "left")
+    got = F.col("b").isNotNull()
+    veto = ~got & (F.col("tid").isNull() | F.coalesce("usable", F.lit(False)))
+    one = every.withColumn("got", got).withColumn("veto", veto)
+    answer = R.cross_group(one, ["rec"], F.col("got"), F.col("veto"), "b").where("value is not null")
+    return answer.select("rec", "value.episode_id", "value.tier").where("tier <> 'schedule'").join(episodes.select("episode_id", "work_id"), "episode_id")
+
+
 def link(files: DataFrame, works: DataFrame, episodes: DataFrame, programs: DataFrame, options: LinkOptions = LinkOptions()) -> DataFrame:
     """(rec, path, status, strategy, work_id, episode_id, confidence, reasons, target) of every file(rec, path).
 
     status is 'linked', 'below' (under the asked confidence), 'open' (no or several answers) or 'refused' (the name cannot
     tell one episode). reasons are in a fixed order. target is where the file would go; copies of one target are numbered
-    by path. Nothing is moved: this is a plan, the same on every run.
+    by path. Nothing is moved: this is a plan, the same on every run. Trusted channels and corroborated rows are asked for
+    where programs has channel_id and subtitle.
     """
     w, e = catalogue_keys(works, episodes)
     e = checkpointed(e)
@@ -116,14 +193,18 @@ def link(files: DataFrame, works: DataFrame, episodes: DataFrame, programs: Data
     picked = R.priority_tiers(evidence, ["rec"], "tier", "episode_id", TIERS).withColumnRenamed("value", "episode_id")
     direct = picked.where("episode_id is not null").select("rec", "episode_id", "tier")
     undated = good.join(direct.select("rec"), "rec", "left_anti")
-    proved = schedule_proof(undated, w, pairs, e, programs).select("rec", "episode_id", F.lit("schedule").alias("tier"))
+    # the tier is added after the plan is cut: a constant in a checkpoint loses its column in later plans
+    proved = checkpointed(schedule_proof(undated, w, pairs, e, programs).select("rec", "episode_id")).withColumn("tier", F.lit("schedule"))
+    if {"channel_id", "subtitle"} <= set(programs.columns):
+        recovered = checkpointed(schedule_recovery(good, w, pairs, e, programs, direct).select("rec", "episode_id", "tier"))
+        proved = proved.unionByName(recovered.join(proved.select("rec"), "rec", "left_anti"))
     chosen = direct.unionByName(proved).join(e, "episode_id").join(w.select("work_id", "title", F.col("tid").alias("wtid")), "work_id")
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor((F.col("t") + 9 * 3_600_000) / 86_400_000).cast("int"))
     aired = programs.where(~F.col("deleted")).select(F.col("tid").alias("wtid"), F.col("count").alias("n"), day.alias("recorded_date")).distinct().withColumn("aired", F.lit(True))
     full = records.join(chosen.select("rec", "work_id", "episode_id", "tier", "title", "wtid", "n", "fraction", "episode_title", F.col("part").alias("epart")), "rec", "left").join(aired, ["wtid", "n", "recorded_date"], "left")
     points = _subtitle_points(F.col("subtitle"), F.col("episode_title"), F.col("part"), F.col("epart"))
     found = F.col("episode_id").isNotNull()
-    sure = F.when(F.col("tier") == "schedule", PROOF).otherwise(F.least(F.lit(100), WORK + EPISODE + points + F.when(F.coalesce("aired", F.lit(False)), AIRED).otherwise(0)))
+    sure = F.when(F.col("tier").isin(PROOFS), PROOF).otherwise(F.least(F.lit(100), WORK + EPISODE + points + F.when(F.coalesce("aired", F.lit(False)), AIRED).otherwise(0)))
     vetoes = picked.where("episode_id is null").select("rec", F.col("reason").alias("veto"))
     works_seen = pairs.groupBy("rec").agg(F.count("*").alias("works"))
     told = full.join(vetoes, "rec", "left").join(works_seen, "rec", "left").withColumn("confidence", F.when(found, sure).otherwise(0))
@@ -134,7 +215,7 @@ def link(files: DataFrame, works: DataFrame, episodes: DataFrame, programs: Data
             F.when(F.col("error").isNull(), F.concat(F.lit("candidate works: "), F.coalesce("works", F.lit(0)).cast("string"))),
             F.when(~found, F.col("veto")),
             F.when(found, F.concat(F.lit("by "), "tier")),
-            F.when(found & (points == 0) & (F.col("tier") != "schedule"), "subtitles differ"),
+            F.when(found & (points == 0) & ~F.col("tier").isin(PROOFS), "subtitles differ"),
             F.when(F.coalesce("aired", F.lit(False)), "aired on the day"),
         )
     )

@@ -27,7 +27,7 @@ def n01_text_keys(spark: SparkSession, folder: str) -> DataFrame:
 def r01_links(spark: SparkSession, folder: str) -> DataFrame:
     """Every recording's path linked to the catalogue, with confidence, reasons and target."""
     files = table(spark, folder, "recording_metadata", "meta_id", "path").select(F.col("meta_id").alias("rec"), "path")
-    return linking.link(files, table(spark, folder, "works"), table(spark, folder, "episodes"), programs(spark, folder, "tid", "count", "deleted", "warn", "t"))
+    return linking.link(files, table(spark, folder, "works"), table(spark, folder, "episodes"), programs(spark, folder, "tid", "count", "channel_id", "subtitle", "deleted", "warn", "t"))
 
 
 def r03_schedule_proof(spark: SparkSession, folder: str) -> DataFrame:

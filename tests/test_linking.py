@@ -65,3 +65,23 @@ def test_link(spark):
     nfo = sidecars(link(files.where("rec = 0"), works, episodes, programs), works, episodes).collect()
     assert len(nfo) == 1 and "<showtitle>遠い海</showtitle>" in nfo[0]["nfo"]
     assert link(files.limit(0), works, episodes, programs).count() == 0
+
+
+def test_link_by_trusted_channel_and_corroborated_rows(spark):
+    works = spark.createDataFrame([(1, "遠い海", None, "tv", None, "2026-summer", None, None, "11", 9, 0)], "id int, title string, title_kana string, media string, media_text string, season_name string, season_name_text string, released_on string, syobocal_tid string, episodes_count int, watchers_count int")
+    subs = ["窓辺", "灯台", "間口", "波音", "帆柱"]
+    episodes = spark.createDataFrame([(10 + n, 1, float(n), f"第{n}話", 10 * n, s) for n, s in enumerate(subs, 1)], "id int, work_id int, number double, number_text string, sort_number int, title string")
+    d = lambda k: 1_784_200_000_000 + k * 86_400_000  # noqa: E731  2026-07-16 and later
+    rows = [(11, 1, 5, "窓辺", d(0), False), (11, 2, 5, "灯台", d(1), False)]  # marks of channel 5
+    rows += [(11, 3, 5, "間口", d(2), False), (11, 1, 6, "窓辺", d(2), False)]  # two channels: the trusted one tells
+    rows += [(11, 4, 5, "波音", d(3), True), (11, 4, 6, "波音", d(3), True)]  # doubtful, told alike
+    rows += [(11, 5, 5, "帆柱", d(4), True)]  # doubtful, one channel
+    rows += [(11, 5, 5, "帆柱", d(5), True), (11, 5, 6, "窓辺", d(5), True)]  # doubtful, subtitles differ
+    programs = spark.createDataFrame([(i, *r[:4], r[4], False, r[5]) for i, r in enumerate(rows)], "pid int, tid int, count int, channel_id int, subtitle string, t long, deleted boolean, warn boolean")
+    names = ["遠い海 #1「窓辺」 (20260716).ts", "遠い海 #2「灯台」 (20260717).ts", *[f"遠い海 (202607{k}).ts" for k in (18, 19, 20, 21)], "遠い海「ちがう」 (20260718).ts"]
+    files = spark.createDataFrame([(i, f"/r/{n}") for i, n in enumerate(names)], "rec int, path string")
+    out = {r["rec"]: r for r in link(files, works, episodes, programs).collect()}
+    assert [(out[i]["strategy"], out[i]["episode_id"], out[i]["status"]) for i in (2, 3)] == [("trusted channel", 13, "linked"), ("corroborated schedule", 14, "linked")]
+    assert [out[i]["status"] for i in (4, 5, 6)] == ["open"] * 3
+    few = {r["rec"]: r for r in link(files.where("rec <> 1"), works, episodes, programs).collect()}
+    assert few[2]["status"] == "open"  # one mark is not trusted

@@ -113,72 +113,101 @@ def distance_limit(symbols: list[str]) -> int:
 
 #: Labels whose result a worker remembers.
 REMEMBERED = 200_000
+#: The edge of a numbered path that any number walks; which entry is meant is looked up by the number itself.
+ANY = "=*"
+
+
+@lru_cache(maxsize=1)
+def numbered_root() -> dict:
+    """The trie of the numbered alias paths, the same for every number: its size does not grow with the reference list."""
+    root: dict = {}
+    for path in NUMBER_PATHS:
+        for tail in NUMBER_TAILS:
+            _insert(root, [ANY if _is_number(s) else s for s in tokenise(path.replace("{n}", " 1 ") + tail)], True)
+    return root
+
+
+def _is_number(symbol: str) -> bool:
+    return len(symbol) > 1
+
+
+def _insert(root: dict, symbols: list[str], mark: object) -> None:
+    node = root
+    for s in symbols:
+        node = node.setdefault(s, {})
+    node.setdefault(None, set()).add(mark)
 
 
 class LabelTrie:
-    """Reference entries and their alias paths; ``search`` gives all entries within the limit of a query."""
+    """Reference entries and their alias paths; ``search`` gives all entries within the limit of a query.
+
+    Entries that are nothing but a numbered counter share one trie of paths; all others lie in a trie of their own with
+    their aliases.
+    """
 
     def __init__(self, entries: Iterable[tuple[int, str]]) -> None:
         self.root: dict = {}
+        self.by_number: dict[str, set[int]] = {}
         self.known: dict[str, tuple[list[tuple[int, int]], int]] = {}
         for key, label in sorted(entries):
             if label is None:
                 continue
             own = tokenise(label)
-            self._add(own, key)
-            numbers = [s for s in own if s[0] == "=" and len(s) > 1]
-            if len(numbers) == 1 and re.fullmatch(r"第=話", "".join("=" if s in numbers else s for s in own)):
-                n = numbers[0][1:]
-                for path in NUMBER_PATHS:
-                    for tail in NUMBER_TAILS:
-                        self._add(tokenise(path.replace("{n}", f" {n} ") + tail), key)
+            numbers = [s for s in own if _is_number(s)]
+            if len(numbers) == 1 and "".join("=" if s in numbers else s for s in own) == "第=話":
+                self.by_number.setdefault(numbers[0], set()).add(key)
+            elif own:
+                _insert(self.root, own, key)
             for path in WORD_PATHS.get(label, "").split():
-                self._add(tokenise(path), key)
-
-    def _add(self, symbols: list[str], key: int) -> None:
-        if not symbols:
-            return
-        node = self.root
-        for s in symbols:
-            node = node.setdefault(s, {})
-        node.setdefault(None, set()).add(key)
+                _insert(self.root, tokenise(path), key)
 
     def search(self, symbols: list[str], limit: int) -> dict[int, int]:
         """The least distance of each entry within the limit. Distances are Levenshtein's, a swap of neighbours counting one; number tokens match only themselves."""
         if not symbols:
             return {}
-        found: dict[int, int] = {}
-        far = limit + 1
-        fixed = [len(s) > 1 for s in symbols]
-        first = [0]
-        for f in fixed:
-            first.append(far if f else min(far, first[-1] + 1))
-
-        def walk(node: dict, row: list[int], before: list[int] | None, came: str | None) -> None:
-            for edge, child in node.items():
-                if edge is None:
-                    if row[-1] <= limit:
-                        for key in child:
-                            found[key] = min(found.get(key, far), row[-1])
-                    continue
-                number = len(edge) > 1
-                new = [far if number else min(far, row[0] + 1)]
-                for j, s in enumerate(symbols, 1):
-                    cost = row[j - 1] if s == edge else far if number or fixed[j - 1] else row[j - 1] + 1
-                    if not number:
-                        cost = min(cost, row[j] + 1)
-                    if not fixed[j - 1]:
-                        cost = min(cost, new[j - 1] + 1)
-                        if before is not None and j > 1 and s == came and symbols[j - 2] == edge and not number and not fixed[j - 2]:
-                            cost = min(cost, before[j - 2] + 1)
-                    new.append(min(far, cost))
-                if min(new) <= limit:
-                    walk(child, new, row, edge)
-
-        walk(self.root, first, None, None)
+        found = automaton(self.root, symbols, limit)
+        numbers = [s for s in symbols if _is_number(s)]
+        if len(numbers) == 1 and numbers[0] in self.by_number:
+            for d in automaton(numbered_root(), [ANY if s == numbers[0] else s for s in symbols], limit).values():
+                for key in self.by_number[numbers[0]]:
+                    found[key] = min(found.get(key, d), d)
         return found
 
 
+def automaton(root: dict, symbols: list[str], limit: int) -> dict:
+    """The marks of a trie within ``limit`` edits of the symbols, with their distances: one row of distances a node."""
+    found: dict = {}
+    far = limit + 1
+    fixed = [_is_number(s) for s in symbols]
+    first = [0]
+    for f in fixed:
+        first.append(far if f else min(far, first[-1] + 1))
+
+    def walk(node: dict, row: list[int], before: list[int] | None, came: str | None) -> None:
+        for edge, child in node.items():
+            if edge is None:
+                if row[-1] <= limit:
+                    for mark in child:
+                        found[mark] = min(found.get(mark, far), row[-1])
+                continue
+            number = _is_number(edge)
+            new = [far if number else min(far, row[0] + 1)]
+            for j, s in enumerate(symbols, 1):
+                cost = row[j - 1] if s == edge else far if number or fixed[j - 1] else row[j - 1] + 1
+                if not number:
+                    cost = min(cost, row[j] + 1)
+                if not fixed[j - 1]:
+                    cost = min(cost, new[j - 1] + 1)
+                    if before is not None and j > 1 and s == came and symbols[j - 2] == edge and not number and not fixed[j - 2]:
+                        cost = min(cost, before[j - 2] + 1)
+                new.append(min(far, cost))
+            if min(new) <= limit:
+                walk(child, new, row, edge)
+
+    walk(root, first, None, None)
+    return found
+
+
 def best_entry(trie: LabelTrie, label: str) -> tuple[list[tuple[int, int]], int]:
     """All (entry, distance) within the limit, nearest first, and the one meant: 0 where none or several are nearest."""
     if label in trie.known:
@@ -197,15 +226,17 @@ def _trie(entries: tuple[tuple[int, str], ...]) -> LabelTrie:
     return LabelTrie(entries)
 
 
-MAX_REFERENCE_ROWS = 1_000_000
+#: Letters of the reference list, in all, that go to every task (a node of the trie takes some hundred bytes).
+MAX_REFERENCE_CHARS = 2_000_000
 
 
 def reference_entries(reference: DataFrame) -> tuple[tuple[int, str], ...]:
-    """The list (label_id, label) on the driver; it is refused beyond MAX_REFERENCE_ROWS, as it goes to every task."""
-    rows = reference.select("label_id", "label").where("label_id is not null and label is not null").distinct().limit(MAX_REFERENCE_ROWS + 1).collect()
-    if len(rows) > MAX_REFERENCE_ROWS:
-        raise ValueError(f"the reference list has more than {MAX_REFERENCE_ROWS} entries")
-    return tuple(sorted((int(r[0]), r[1]) for r in rows))
+    """The list (label_id, label) on the driver; it is measured first and refused beyond MAX_REFERENCE_CHARS, as it goes to every task."""
+    rows = reference.select("label_id", "label").where("label_id is not null and label is not null").distinct()
+    size = rows.agg(F.sum(F.length("label") + 8)).first()[0] or 0
+    if size > MAX_REFERENCE_CHARS:
+        raise ValueError(f"the reference list has more than {MAX_REFERENCE_CHARS} letters")
+    return tuple(sorted((int(r[0]), r[1]) for r in rows.collect()))
 
 
 def map_labels(df: DataFrame, column: str, reference: DataFrame, out: str = "label_id", candidates: str = "label_candidates", exact: str = "label_exact") -> DataFrame:

@@ -89,8 +89,9 @@ ITEM = "夜更けの峠ではスープの値が37倍になり、マユキは忘
 
 def test_leveling():
     assert level("Ａ<b>b</b> &amp; c-\n「ｶﾞ」") == "abcガ"
-    flat, at = level_with_map("x <i>Ａ</i>　b")
-    assert flat == "xab" and [("x <i>Ａ</i>　b")[i] for i in at] == ["x", "Ａ", "b"]
+    text = "x <i>Ａ</i>　b&#12354;"
+    flat, starts, ends = level_with_map(text)
+    assert flat == "xabあ" and [text[i:j] for i, j in zip(starts, ends)] == ["x", "Ａ", "b", "&#12354;"]
     assert extend("abcdXefgh", "abcdefgh", 0, 0, 1, 4) == (9, 8)
 
 
@@ -110,10 +111,26 @@ def test_leaks(spark):
     assert find_leaks(df.limit(0), items).count() == 0 and find_leaks(df, items.limit(0)).count() == 0
 
 
-def test_shared_grams_are_no_seeds():
-    stock = "次回もお楽しみに今週はここまでです"
-    index = ItemIndex(tuple((i, stock + chr(0x4E00 + i) * 30) for i in range(6)), 10, 3)
-    assert index.runs(level(stock), 4) == {}
+def test_levelling_with_places_is_the_same():
+    rng = random.Random(7)
+    pool = [*"ab ,。あかﾊ", "ﾞ", "ﾟ", "゙", "́", "̧", "<b>", "</b>", "[url=x]", "](http://a)", "&amp;", "&#12354;", "&#x41", ";", "&", "각", "ᄀ", "ᅡ", "ᆨ", "ﬁ", "①", "İ", "ß", "ς", "়", "ো"]
+    for _ in range(3_000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))
+        flat, starts, ends = level_with_map(text)
+        assert flat == level(text), ascii(text)
+        assert all(0 <= i < j <= len(text) for i, j in zip(starts, ends)) and starts == sorted(starts)
+
+
+def test_every_copy_of_an_item_is_cut(spark):
+    items = spark.createDataFrame([(1, ITEM), (2, "二年前の朝食")], "item_id long, text string")
+    filler = "&#12354;&#12356;&#12358;" * 30
+    docs = [(1, filler + "。前" + ITEM + "まんなか" * 40 + ITEM + "終わり" * 60), (2, "昨日も二年前の朝食を思い出した。" * 2 + "別の話がここから続いていく、とても長い文章になる。" * 3), (3, "二年前の朝")]
+    df = spark.createDataFrame([(*d, 9) for d in docs], "doc_id long, text string, leak_chars int")
+    found = find_leaks(df, items)
+    assert {(r["doc_id"], r["item_id"], len(r["spans"])) for r in found.collect()} == {(1, 1, 2), (2, 2, 2)}
+    kept = {r["doc_id"]: r for r in remove_leaks(df, found).collect()}
+    assert kept[1]["text"].replace("\n", "").replace("。", "") == filler + "前" + "まんなか" * 40 + "終わり" * 60
+    assert "朝食" not in kept[2]["text"] and kept[3]["text"] == "二年前の朝"
 
 
 def test_passages_of_many_items_are_found(spark):
@@ -130,7 +147,7 @@ def test_changes_close_together_part_no_run_beside_a_stock_phrase():
     stock = "次回もお楽しみに今週は"
     text = item[:30] + stock + item[30:]
     doc = item[:30] + stock[:2] + "XYZ" + stock[5:] + item[30:]
-    assert ItemIndex(((1, text), (2, stock + item[:25])), 10).runs(doc, 4)[1, len(text)][0] >= 0.9 * len(text)
+    assert max(n for k, n, *_ in ItemIndex(((1, text), (2, stock + item[:25])), 10).leaks(doc, 4) if k == 1) >= 0.9 * len(text)
 
 
 PROSE = "編集は狐火の切り返しが速く、ユラキの表情を39回も重ねている。限定特典の冊子にエマオのクジラを描いた空飛ぶ地図が付き、通販では34分で品切れになった。"

@@ -13,11 +13,12 @@ from __future__ import annotations
 import base64
 import heapq
 import math
+import os
 from fractions import Fraction
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkloom.session import checkpointed
@@ -31,21 +32,31 @@ MAX_SOURCES = 10_000
 MAX_PERIOD = 200_000
 
 
+#: Bytes of a vocabulary that go to every worker.
+MAX_VOCABULARY = 64_000_000
+
+
 @lru_cache(maxsize=4)
-def _encoding(path: str):
+def _encoding(raw: bytes):
     import tiktoken
 
-    with open(path, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
     return tiktoken.Encoding("bytes", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(vocabulary: str = DEFAULT_VOCABULARY):
-    """A function of a text column: its tokens in a byte-level vocabulary (special tokens are ordinary text); null is 0."""
+def token_counts(spark: SparkSession, vocabulary: str = DEFAULT_VOCABULARY):
+    """A function of a text column: its tokens in a byte-level vocabulary (special tokens are ordinary text); null is 0.
+
+    The vocabulary is read on the driver and sent to the workers, which need no such file; it is refused beyond MAX_VOCABULARY.
+    """
+    if os.path.getsize(vocabulary) > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary may have at most {MAX_VOCABULARY} bytes")
+    with open(vocabulary, "rb") as file:
+        sent = spark.sparkContext.broadcast(file.read())
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        encode = _encoding(vocabulary).encode_ordinary
+        encode = _encoding(sent.value).encode_ordinary
         return pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
     return count
@@ -116,7 +127,7 @@ def pfair_period(shares: dict[str, int], period: int) -> list[tuple[str, int, in
 
 def sized_documents(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, source, tokens) of documents(doc_id, source, text); null and empty texts have 0 tokens."""
-    return documents.select("doc_id", "source", token_counts(vocabulary)("text").alias("tokens"))
+    return documents.select("doc_id", "source", token_counts(documents.sparkSession, vocabulary)("text").alias("tokens"))
 
 
 def _targets(targets: DataFrame) -> list[tuple[str, float, int]]:
@@ -141,66 +152,90 @@ def _supplies(sized: DataFrame, names: list[str]) -> tuple[int, dict[str, tuple[
     return sum(x["t"] or 0 for x in rows), {x["s"]: (x["n"], x["t"] or 0) for x in rows if x["s"] is not None}
 
 
-REPORT = "source string, target_share double, max_repeats int, documents bigint, tokens bigint, target_tokens bigint, delivered_tokens bigint, blocks bigint, blocks_missed bigint, repeats_used double, actual_share double, filled boolean"
-
+REPORT = "source string, target_share double, max_repeats int, documents bigint, tokens bigint, target_tokens bigint, delivered_tokens bigint, blocks bigint, blocks_missed bigint, copies_used int, deviation double, actual_share double, filled boolean"
 
-def mix_report(sized: DataFrame, targets: DataFrame, block_tokens: int = 4096, period: int = 1000) -> DataFrame:
-    """One row per target source: what a mix as large as all documents together gives it; columns as in REPORT.
 
-    blocks counts the blocks whose deadline lies inside the mix, blocks_missed those that the source, all its documents
-    used max_repeats times, has nothing left for. The period is that of ``mix_schedule``, where each source has all blocks
-    of its target, so the tokens delivered are those of the schedule (but for the rest of the last document). filled is false where the tokens do not reach the target. Actual shares
-    are of all tokens delivered. Without documents or targets the report is empty or all zero; sources of documents
-    without a target are not mixed in but count towards the size.
-    """
+def _plan(sized: DataFrame, targets: DataFrame, block_tokens: int, period: int, rows_per_bucket: int = 1) -> tuple[DataFrame, DataFrame, int]:
+    """(a row for each target, the slots of one period, slots of the period); both tables are bounded by MAX_SOURCES and MAX_PERIOD."""
+    spark = sized.sparkSession
     wanted = _targets(targets)
     total, supply = _supplies(sized, [s for s, _, _ in wanted])
-    shares, period, slots = mix_period(wanted, total, block_tokens, period)
+    shares, period, _ = mix_period(wanted, total, block_tokens, period)
     rows = []
     for s, w, r in wanted:
         n, t = supply.get(s, (0, 0))
-        target = int(w * total)
-        most = t * r
-        given = min(target, most)
-        due = slots // period * shares[s] + sum(1 for k in range(shares[s]) if -(-(k + 1) * period // shares[s]) <= slots % period)
-        rows.append([s, w, r, n, t, target, given, due, max(0, due - -(-most // block_tokens)), given / t if t else 0.0, 0.0, most >= target])
-    sent = sum(x[6] for x in rows)
-    for x in rows:
-        x[10] = x[6] / sent if sent else 0.0
-    return sized.sparkSession.createDataFrame([tuple(x) for x in rows], REPORT)
+        rows.append((s, w, r, int(w * total), shares[s], n, t, max(1, -(-n // rows_per_bucket))))
+    plan = spark.createDataFrame(rows, "source string, weight double, cap int, target bigint, share int, documents bigint, supply bigint, buckets int")
+    slots = spark.createDataFrame([(s, k, slot) for s, k, _, _, slot in pfair_period(shares, period)], "source string, k bigint, slot_in_period bigint")
+    return plan, slots, period
 
 
 def mix_schedule(sized: DataFrame, targets: DataFrame, block_tokens: int = 4096, period: int = 1000, rows_per_bucket: int = 200_000) -> DataFrame:
-    """The mix itself: (doc_id, source, copy, block, slot), one row for every use of a document.
+    """The mix itself: (doc_id, source, copy, block, slot, first, tokens), a row for every part of a document in a block.
 
     A source's documents follow in the order of a hash of their ids, copy after copy, until its target is reached or its
-    cap; block is the block of the source's stream in which the document starts, slot its place in the interleaving: read
-    in the order of slot, every source stays within one block (and the document at its end) of its share. Offsets come
-    from sums of buckets, then sums inside a bucket of bounded size, so that a source may hold any part of the corpus.
-    Documents with equal ids are all used; empty ones take no room. ``sized`` is written to the checkpoint folder once.
+    cap; documents are cut where a block ends and where the target does, ``first`` being the token of the document that
+    the part begins with. block is the block of the source's stream, slot its place in the interleaving: read in the order
+    of slot, every source stays within one block of its share. Offsets come from sums of buckets, then sums inside a bucket
+    of bounded size, so that a source may hold any part of the corpus. Documents with equal ids are all used; empty ones
+    are a part of no tokens. ``sized`` is written to the checkpoint folder once.
     """
-    spark = sized.sparkSession
-    sized = checkpointed(sized)
-    wanted = _targets(targets)
-    total, supply = _supplies(sized, [s for s, _, _ in wanted])
-    shares, period, _ = mix_period(wanted, total, block_tokens, period)
-    plan = spark.createDataFrame(
-        [(s, int(w * total), r, shares[s], supply[s][1], max(1, -(-supply[s][0] // rows_per_bucket))) for s, w, r in wanted if s in supply],
-        "source string, target bigint, cap int, share int, supply bigint, buckets int",
-    )
-    slots = spark.createDataFrame([(s, k, slot) for s, k, _, _, slot in pfair_period(shares, period)], "source string, k bigint, slot_in_period bigint")
-    hashed = sized.join(F.broadcast(plan), "source").withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("h", "buckets"))
+    return _scheduled(checkpointed(sized), targets, block_tokens, period, rows_per_bucket)[0]
+
+
+def _scheduled(sized: DataFrame, targets: DataFrame, block_tokens: int, period: int, rows_per_bucket: int) -> tuple[DataFrame, DataFrame, int]:
+    plan, slots, period = _plan(sized, targets, block_tokens, period, rows_per_bucket)
+    hashed = sized.join(F.broadcast(plan.select("source", "cap", "target", "share", "supply", "buckets")), "source").withColumn("h", F.xxhash64("doc_id")).withColumn("bucket", F.pmod("h", "buckets"))
     sums = hashed.groupBy("source", "bucket").agg(F.sum("tokens").alias("size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).drop("size")
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = hashed.withColumn("inner", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(starts, ["source", "bucket"])
-    first = F.col("base") + F.col("inner")
-    # copies that start before the target is reached: c * supply + first < target
-    copies = F.least(F.col("cap").cast("long"), F.when(F.col("supply") > 0, F.ceil((F.col("target") - first) / F.col("supply"))).otherwise(0))
-    used = placed.withColumn("first", first).where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)))
-    block = F.floor((F.col("copy") * F.col("supply") + F.col("first")) / F.lit(block_tokens)).cast("long")
-    used = used.withColumn("block", block).withColumn("k", F.pmod("block", F.col("share")))
-    used = used.join(F.broadcast(slots), ["source", "k"])
-    slot = F.floor(F.col("block") / F.col("share")).cast("long") * period + F.col("slot_in_period")
-    return used.select("doc_id", "source", (F.col("copy") + 1).cast("int").alias("copy"), "block", slot.alias("slot"))
+    placed = hashed.withColumn("inner", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(starts, ["source", "bucket"]).withColumn("at", F.col("base") + F.col("inner"))
+    # copies that start before the target is reached: c * supply + at < target
+    used = placed.where("supply > 0 and at < target and cap > 0")
+    used = used.withColumn("copy", F.explode(F.expr("sequence(0L, least(cast(cap as bigint), (target - at + supply - 1) div supply) - 1)"))).withColumn("at", F.expr("copy * supply + at"))
+    used = used.withColumn("end", F.expr("least(at + tokens, target)"))
+    parts = used.withColumn("block", F.explode(F.expr(f"sequence(at div {block_tokens}L, greatest(at, end - 1) div {block_tokens}L)")))
+    low, high = F.greatest("at", F.col("block") * block_tokens), F.least("end", (F.col("block") + 1) * block_tokens)
+    parts = parts.select("doc_id", "source", (F.col("copy") + 1).cast("int").alias("copy"), "block", "share", (low - F.col("at")).alias("first"), (high - low).alias("tokens"))
+    parts = parts.withColumn("k", F.pmod("block", "share")).join(F.broadcast(slots), ["source", "k"])
+    slot = F.expr("block div share") * period + F.col("slot_in_period")
+    return parts.select("doc_id", "source", "copy", "block", slot.alias("slot"), "first", "tokens"), plan, period
+
+
+def mix_report(sized: DataFrame, targets: DataFrame, block_tokens: int = 4096, period: int = 1000, rows_per_bucket: int = 200_000) -> DataFrame:
+    """One row per target source: what a mix as large as all documents together gives it, measured on ``mix_schedule``; columns as in REPORT.
+
+    delivered_tokens, blocks and copies_used are those of the scheduled parts, blocks_missed the blocks of the target that
+    none of them reaches. deviation is the greatest distance, in blocks, between what a source had and its share of the
+    slots passed, over all its blocks. filled is false where the target is not reached. Actual shares are of all tokens
+    delivered. Without documents or targets the report is all zero or empty; sources of documents without a target are not
+    mixed in but count towards the size.
+    """
+    parts, plan, period = _scheduled(checkpointed(sized), targets, block_tokens, period, rows_per_bucket)
+    # one row for each block first: a block's parts differ only in their tokens
+    blocks = parts.groupBy("source", "block", "slot").agg(F.sum("tokens").alias("tokens"), F.max("copy").alias("copy"))
+    share = F.col("share") / F.lit(float(period))
+    apart = F.greatest(F.abs(F.col("block") + 1 - share * (F.col("slot") + 1)), F.abs(F.col("block") - share * F.col("slot")))
+    sent = (
+        blocks.join(F.broadcast(plan.select("source", "share")), "source")
+        .groupBy("source")
+        .agg(F.sum("tokens").alias("given"), F.count_if(F.col("tokens") > 0).alias("blocks"), F.max("copy").alias("copies"), F.max(apart).alias("deviation"))
+    )
+    rows = plan.join(F.broadcast(sent), "source", "left").withColumns({"given": F.coalesce("given", F.lit(0)), "blocks": F.coalesce("blocks", F.lit(0))})
+    all_ = F.sum("given").over(Window.partitionBy())
+    return rows.select(
+        "source",
+        F.col("weight").alias("target_share"),
+        F.col("cap").alias("max_repeats"),
+        "documents",
+        F.col("supply").alias("tokens"),
+        F.col("target").alias("target_tokens"),
+        F.col("given").cast("long").alias("delivered_tokens"),
+        F.col("blocks").cast("long").alias("blocks"),
+        F.expr(f"(target + {block_tokens - 1}L) div {block_tokens}L - blocks").alias("blocks_missed"),
+        F.coalesce("copies", F.lit(0)).alias("copies_used"),
+        F.coalesce("deviation", F.lit(0.0)).alias("deviation"),
+        F.coalesce(F.try_divide("given", all_), F.lit(0.0)).cast("double").alias("actual_share"),
+        (F.col("given") >= F.col("target")).alias("filled"),
+    )

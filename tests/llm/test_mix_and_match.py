@@ -40,13 +40,21 @@ def test_mix(spark):
         tokens = {r[0]: r[2] for r in rows}
         for s in ("a", "b", "c"):
             mine = [r for r in out if r["source"] == s]
-            sent = sum(tokens[r["doc_id"]] for r in mine)
-            assert report[s]["delivered_tokens"] <= sent < report[s]["delivered_tokens"] + 41
-            assert max(r["copy"] for r in mine) <= {"a": 1, "b": 4, "c": 2}[s] and len({(r["doc_id"], r["copy"]) for r in mine}) == len(mine)
+            assert sum(r["tokens"] for r in mine) == report[s]["delivered_tokens"] and report[s]["deviation"] < 1
+            assert max(r["copy"] for r in mine) == report[s]["copies_used"] <= {"a": 1, "b": 4, "c": 2}[s]
+            whole, block = {}, {}
+            for r in mine:  # parts of a document lie side by side, blocks hold no more than their size
+                whole.setdefault((r["doc_id"], r["copy"]), []).append((r["first"], r["tokens"]))
+                block[r["block"]] = block.get(r["block"], 0) + r["tokens"]
+            assert max(block.values()) <= 50 and all(n == 50 for k, n in block.items() if k < max(block))
+            cut = [k for k, v in whole.items() if sum(n for _, n in v) != tokens[k[0]]]
+            assert len(cut) <= 1 and all(a + n == b for v in whole.values() for (a, n), (b, _) in zip(sorted(v), sorted(v)[1:]))
         slots = sorted((r["slot"], r["source"], r["block"]) for r in out)
         assert len({(x[0], x[1]) for x in slots}) == len({x[0] for x in slots})
     assert mix_report(sized(spark, []), targets).where("delivered_tokens > 0").count() == 0
     assert mix_report(sized(spark, rows), targets.limit(0)).count() == 0
+    long = mix_schedule(sized(spark, [(1, "a", 1_000), (2, "b", 1_000), (3, "b", None)]), targets, block_tokens=50).collect()
+    assert sum(r["tokens"] for r in long if r["source"] == "a") == 1_000 and len([r for r in long if r["doc_id"] == 1]) == 20
 
 
 def test_no_small_share_is_rounded_away(spark):
@@ -58,8 +66,8 @@ def test_no_small_share_is_rounded_away(spark):
         out = mix_schedule(sized(spark, rows), targets, block_tokens=20).collect()
         sent = dict.fromkeys(report, 0)
         for r in out:
-            sent[r["source"]] += 40 if r["source"] == "odd" else 10
-        assert len(report) == 1501 + (odd > 0) and min(sent.values()) > 0 and all(report[s] <= sent[s] < report[s] + 40 for s in report)
+            sent[r["source"]] += r["tokens"]
+        assert len(report) == 1501 + (odd > 0) and min(sent.values()) > 0 and report == sent
         assert len({(r["slot"], r["source"]) for r in out}) == len({r["slot"] for r in out})
 
 

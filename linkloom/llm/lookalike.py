@@ -22,7 +22,13 @@ LOOKALIKES = [
     ("аеорсухѕіјһԁԛԝѵӏ", "aeopcyxsijhdqwvl"),
     # Greek
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺ", "ABEZHIKMNOPTYXCM"),
-    ("ονρϲϳ", "ovpcj"),
+    ("αγιονρυϲϳ", "ayiovpucj"),
+    # Latin letters of other uses
+    ("ɑɡıȷ", "agij"),
+    # Coptic
+    ("ⲀⲂⲤⲈⲎⲒⲔⲘⲚⲞⲢⲦⲨⲬ", "ABCEHIKMNOPTYX"),
+    # Lisu
+    ("ꓐꓑꓓꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓤꓥꓦ", "BPDGKJCZFMNLSRꓤΛV"),
     # Armenian
     ("ՕՍօհոսց", "OUohnug"),
     # Cherokee
@@ -75,14 +81,24 @@ def character_map() -> dict[str, str]:
         ch = chr(c)
         if 0xD800 <= c < 0xE000:
             continue
-        if 0xAC00 <= c < 0xD7A4:
-            continue  # Hangul syllables stay whole
-        to = expand(ch)
+        # Hangul syllables have their letters by rule
+        to = unicodedata.normalize("NFD", ch) if 0xAC00 <= c < 0xD7A4 else expand(ch)
         if to != ch:
             out[ch] = to
     return out
 
 
+@lru_cache(maxsize=1)
+def _by_code() -> dict[int, str]:
+    return {ord(a): b for a, b in character_map().items()}
+
+
+def jamo(ch: str) -> int:
+    """Place of a Hangul letter among those that compose: from 0 for leading ones, from 100 for vowels, from 200 for trailing ones; -1 for others."""
+    c = ord(ch)
+    return c - 0x1100 if 0x1100 <= c < 0x1113 else 100 + c - 0x1161 if 0x1161 <= c < 0x1176 else 200 + c - 0x11A7 if 0x11A8 <= c < 0x11C3 else -1
+
+
 @lru_cache(maxsize=1)
 def compositions() -> dict[str, str]:
     """Canonical pairs (letter and mark) and the letter that they compose to."""
@@ -114,79 +130,99 @@ def plain_pattern() -> str:
     return "^[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]*$"
 
 
-@lru_cache(maxsize=100_000)
-def skeleton_of(ch: str) -> str:
-    return character_map().get(ch, ch)
-
-
 def skeleton(text: str) -> str:
     """The form of one text, composed, as ``unify_texts`` gives it: for keys made inside other operators' functions."""
-    return unicodedata.normalize("NFC", "".join(map(skeleton_of, text)))
+    return unicodedata.normalize("NFC", text.translate(_by_code()))
 
 
 def _character_table(spark: SparkSession) -> DataFrame:
-    """(ch, parts ARRAY<STRUCT<ch, ccc>>) of mapped characters and of combining marks; some 10,000 rows, fixed by Unicode."""
+    """(ch, parts ARRAY<STRUCT<c, ccc, j>>) of mapped characters, combining marks and Hangul letters; some 21,000 rows, fixed by Unicode."""
     table = dict(character_map())
-    for c in range(0x300, 0x1E95B):
+    for c in [*range(0x300, 0x1E95B), *range(0x1100, 0x1200)]:
         ch = chr(c)
-        if unicodedata.combining(ch) and ch not in table:
+        if (unicodedata.combining(ch) or jamo(ch) >= 0) and ch not in table:
             table[ch] = ch
-    rows = [(k, [(c, unicodedata.combining(c)) for c in v]) for k, v in sorted(table.items())]
-    return spark.createDataFrame(rows, "ch string, parts array<struct<c:string,ccc:int>>")
+    rows = [(k, [(c, unicodedata.combining(c), jamo(c)) for c in v]) for k, v in sorted(table.items())]
+    return spark.createDataFrame(rows, "ch string, parts array<struct<c:string,ccc:int,j:int>>")
 
 
-def _recomposed(points: Column) -> Column:
-    """The string of an ordered array of (place, c, ccc): marks sorted by class, then composed with their letter.
+def _marks_composed(letter: Column) -> Column:
+    """The string of a letter and its marks, as an array of (c, ccc) ordered by class.
 
-    The state keeps what is finished, the open letter, the marks that did not compose with it, and the class of the last
-    of these: a mark composes unless an equal or higher class stands between.
+    The state keeps the letter, the marks that did not compose with it, and the class of the last of these: a mark
+    composes unless an equal or higher class stands between.
     """
-    pairs = compositions()
-    lookup = F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv])
-    zero = F.struct(F.lit("").alias("done"), F.lit("").alias("open"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+    by_mark: dict[str, dict[str, str]] = {}
+    for pair, whole in sorted(compositions().items()):
+        by_mark.setdefault(pair[1], {})[pair[0]] = whole
+    lookup = F.create_map(*[x for mark, bases in by_mark.items() for x in (F.lit(mark), F.create_map(*[F.lit(y) for kv in bases.items() for y in kv]))])
+    zero = F.struct(F.lit("").alias("open"), F.lit("").alias("rest"), F.lit(0).alias("last"))
 
     def step(acc: Column, p: Column) -> Column:
-        composed = F.when((acc["open"] != "") & (acc["last"] < p["ccc"]), lookup[F.concat(acc["open"], p["c"])])
-        letter = F.struct(F.concat(acc["done"], acc["open"], acc["rest"]).alias("done"), p["c"].alias("open"), F.lit("").alias("rest"), F.lit(0).alias("last"))
-        joined = F.struct(acc["done"].alias("done"), composed.alias("open"), acc["rest"].alias("rest"), acc["last"].alias("last"))
-        left = F.struct(acc["done"].alias("done"), acc["open"].alias("open"), F.concat(acc["rest"], p["c"]).alias("rest"), p["ccc"].alias("last"))
-        return F.when(p["ccc"] == 0, letter).when(composed.isNotNull(), joined).otherwise(left)
+        composed = F.when((acc["open"] != "") & (acc["last"] < p["ccc"]), lookup[p["c"]][acc["open"]])
+        first = F.struct(p["c"].alias("open"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+        joined = F.struct(composed.alias("open"), acc["rest"].alias("rest"), acc["last"].alias("last"))
+        left = F.struct(acc["open"].alias("open"), F.concat(acc["rest"], p["c"]).alias("rest"), p["ccc"].alias("last"))
+        return F.when(p["ccc"] == 0, first).when(composed.isNotNull(), joined).otherwise(left)
+
+    return F.aggregate(letter, zero, step, lambda acc: F.concat(acc["open"], acc["rest"]))
+
+
+def _syllable(letter: Column) -> Column:
+    """The string of an array that begins with a leading Hangul letter and a vowel: one syllable, and what follows it."""
+    trailing = F.when((F.size(letter) > 2) & (F.try_element_at(letter, F.lit(3))["j"] >= 200), F.try_element_at(letter, F.lit(3))["j"] - 200).otherwise(0)
+    code = F.lit(0xAC00) + (letter[0]["j"] * 21 + letter[1]["j"] - 100) * 28 + trailing
+    whole = F.decode(F.unhex(F.lpad(F.hex(code), 4, "0")), "UTF-16BE")
+    rest = F.slice(letter, F.when(trailing > 0, 4).otherwise(3), F.size(letter))
+    return F.concat(whole, F.array_join(F.transform(rest, lambda x: x["c"]), ""))
+
+
+def _recomposed(points: Column) -> Column:
+    """The string of an array of (c, ccc, j): cut into letters with their marks, the marks sorted by class, then composed.
+
+    Every step is linear in the text: a letter is a slice of it, the letters are joined once.
+    """
+    n = F.size(points)
+    # a mark joins any letter, a vowel of Hangul its leading letter, a trailing letter its vowel
+    joins = lambda i: (points[i]["ccc"] > 0) | ((points[i]["j"] >= 100) & (F.floor(points[i]["j"] / 100) == F.floor(points[i - 1]["j"] / 100) + 1))
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == 0, True).otherwise(~joins(i)))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(n))
+    letters = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.slice(points, x["a"] + 1, x["b"] - x["a"]))
+
+    def one(letter: Column) -> Column:
+        hangul = (F.size(letter) > 1) & (letter[0]["j"] >= 0) & (letter[0]["j"] < 100) & letter[1]["j"].between(100, 199)
+        plain = ~F.exists(letter, lambda x: x["ccc"] > 0)
+        # stable in its class: the place goes before the character
+        by_class = F.transform(F.array_sort(F.transform(letter, lambda x, i: F.struct(x["ccc"].alias("ccc"), i.alias("i"), x["c"].alias("c")))), lambda x: F.struct(x["c"].alias("c"), x["ccc"].alias("ccc")))
+        return F.when(F.size(letter) == 1, letter[0]["c"]).when(hangul & plain, _syllable(letter)).when(plain, F.array_join(F.transform(letter, lambda x: x["c"]), "")).otherwise(_marks_composed(by_class))
 
-    return F.aggregate(points, zero, step, lambda acc: F.concat(acc["done"], acc["open"], acc["rest"]))
+    return F.array_join(F.transform(letters, one), "")
 
 
 def unify_texts(texts: DataFrame, column: str = "text") -> DataFrame:
     """(text, form) for every distinct non-null text of ``column``: ``form`` is equal for texts that look the same.
 
     Blank and empty texts are texts as any other; texts of invisible characters alone get the empty form. Marks are
-    canonically ordered and composed; Hangul written in single letters is left in them. Texts are whole, of any length:
-    the array of one text's characters is the largest thing a task holds.
+    canonically ordered and composed, single Hangul letters too (a syllable with marks in it keeps its letters). Texts are
+    whole, of any length: one text's characters are the largest thing a task holds. Characters travel with 128 bits of
+    their text's hash, the text itself with its first character alone, so that the shuffle is linear in the text.
     """
     spark = texts.sparkSession
     distinct = texts.select(F.col(f"`{column}`").alias("text")).where("text is not null").distinct()
     plain = distinct.where(F.col("text").rlike(plain_pattern())).select("text", F.col("text").alias("form"))
-    odd = distinct.where(~F.col("text").rlike(plain_pattern()))
-    points = odd.select("text", F.posexplode(F.split("text", "")).alias("pos", "ch"))
+    odd = distinct.where(~F.col("text").rlike(plain_pattern())).withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit("second"), "text"))
+    points = odd.select("h1", "h2", "text", F.posexplode(F.split("text", "")).alias("pos", "ch"))
+    points = points.select("h1", "h2", F.when(F.col("pos") == 0, F.col("text")).alias("text"), "pos", "ch")
     table = F.broadcast(_character_table(spark))
     mapped = points.join(table, "ch", "left")
-    parts = F.when(F.col("parts").isNull(), F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc")))).otherwise(F.col("parts"))
+    parts = F.when(F.col("parts").isNull(), F.array(F.struct(F.col("ch").alias("c"), F.lit(0).alias("ccc"), F.lit(-1).alias("j")))).otherwise(F.col("parts"))
     # one row a character goes into the shuffle: invisible ones as empty arrays, so that no text is lost
-    gathered = mapped.groupBy("text").agg(F.array_sort(F.collect_list(F.struct("pos", parts.alias("p")))).alias("a"))
-    flat = F.flatten(F.transform("a", lambda x: x["p"]))
-    # marks by class within each run after a letter: the number of the letter, then the class, then the place
-    runs = F.aggregate(
-        flat,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<run:int,ccc:int,at:int,c:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["n"] + F.when(x["ccc"] == 0, 1).otherwise(0)).alias("n"),
-            F.array_append(acc["out"], F.struct((acc["n"] + F.when(x["ccc"] == 0, 1).otherwise(0)).alias("run"), x["ccc"].alias("ccc"), F.size(acc["out"]).alias("at"), x["c"].alias("c"))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    marked = F.exists(flat, lambda x: x["ccc"] > 0)
-    straight = F.array_join(F.transform(flat, lambda x: x["c"]), "")
-    form = F.when(marked, _recomposed(F.array_sort(runs))).otherwise(straight)
-    return plain.unionByName(gathered.select("text", form.alias("form")))
+    gathered = mapped.groupBy("h1", "h2").agg(F.max("text").alias("text"), F.array_sort(F.collect_list(F.struct("pos", parts.alias("p")))).alias("a"))
+    flat = gathered.select("text", F.flatten(F.transform("a", lambda x: x["p"])).alias("points"))
+    odd_ones = F.exists("points", lambda x: (x["ccc"] > 0) | (x["j"] >= 100))
+    straight = F.array_join(F.transform("points", lambda x: x["c"]), "")
+    form = F.when(odd_ones, _recomposed(F.col("points"))).otherwise(straight)
+    return plain.unionByName(flat.select("text", form.alias("form")))
 
 
 def lookalike_classes(records: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkloom.session import checkpointed
+
 # Letters that look like another letter, as (letters, the letters they are taken for).
 LOOKALIKES = [
     # Cyrillic
@@ -155,7 +157,8 @@ def _marks_composed(letter: Column) -> Column:
     by_mark: dict[str, dict[str, str]] = {}
     for pair, whole in sorted(compositions().items()):
         by_mark.setdefault(pair[1], {})[pair[0]] = whole
-    lookup = F.create_map(*[x for mark, bases in by_mark.items() for x in (F.lit(mark), F.create_map(*[F.lit(y) for kv in bases.items() for y in kv]))])
+    bases_of = lambda bases: ", ".join(f"'{a}', '{b}'" for a, b in bases.items())
+    lookup = F.expr("map(" + ", ".join(f"'{mark}', map({bases_of(bases)})" for mark, bases in by_mark.items()) + ")")
     zero = F.struct(F.lit("").alias("open"), F.lit("").alias("rest"), F.lit(0).alias("last"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -239,12 +242,12 @@ def lookalike_pairs(records: DataFrame) -> DataFrame:
     """(tbl, id_a, id_b), id_a < id_b, distinct: records of one table that look the same but are different strings.
 
     Blank texts (of blanks and invisible characters alone) are left out. Only classes that have two spellings reach the join; their members
-    are paired across spellings, which is the size of the result itself.
+    are written down and paired across spellings, which is the size of the result itself.
     """
     forms = unify_texts(records, "text").where(~F.col("form").rlike(r"^\s*$"))
     spelt = records.select("tbl", "text").where("text is not null").distinct().join(forms, "text")
     several = spelt.groupBy("tbl", "form").agg(F.count("*").alias("n"), F.collect_list("text").alias("texts")).where("n > 1")
-    members = several.select("tbl", "form", F.explode("texts").alias("text")).join(records.select("tbl", "text", "id").where("id is not null").distinct(), ["tbl", "text"])
+    members = checkpointed(several.select("tbl", "form", F.explode("texts").alias("text")).join(records.select("tbl", "text", "id").where("id is not null").distinct(), ["tbl", "text"]))
     a = members.select("tbl", "form", F.col("text").alias("ta"), F.col("id").alias("a"))
     b = members.select("tbl", "form", F.col("text").alias("tb"), F.col("id").alias("b"))
     pairs = a.join(b, ["tbl", "form"]).where("ta <> tb and a < b")

@@ -23,23 +23,20 @@ from pyspark.sql import functions as F
 # Charsets that text is wrongly read in, and those that it was written in.
 READ_AS = ["latin-1", "cp1252", "cp1251", "koi8-r", "cp866", "cp437", "mac-roman", "cp932", "gb18030"]
 WRITTEN_IN = ["utf-8", "cp932", "euc_jp"]
-#: Repairs in a row, and texts expanded, at most for one value.
-MAX_DEPTH, MAX_STATES = 4, 24
+#: Texts expanded at most for one value; a search that this ends is reported (``searched`` false).
+MAX_STATES = 400
 #: What a repair must save to count, in all and as a share of the cost; letters that are whole in UTF-8 need not (``letters_restored``).
 MIN_GAIN, MIN_SHARE = 3.0, 0.12
 #: Mass of impossible characters at which a text counts as garbled beyond repair.
 MIN_MASS = 3.0
 
-_SOUND = re.compile(r"[\n\r\t -~ぁ-ゖァ-ヺー-ヾ々〆〇　、-】〔-〟〜・！-～￥]*")
 _STRIPPED = re.compile(r"\x1b?\$[@B]((?:[!-~]{2})+?)\x1b?\([BJ]")
 _REFERENCE = re.compile(r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]{2,8}\d?);")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2}){2,}")
-_LOST = re.compile(r"\?{4,}")
 _ESCAPE = re.compile(r"(?:\\u[0-9a-fA-F]{4}){2,}|(?:\\x[0-9a-fA-F]{2}){2,}")
 _UTF8_RUN = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3})+")
 
 
-@lru_cache(maxsize=200_000)
 def base_cost(ch: str) -> tuple[float, str]:
     """Cost of a character in good company, and its class."""
     c = ord(ch)
@@ -90,46 +87,95 @@ def base_cost(ch: str) -> tuple[float, str]:
     return 2.8, "s"
 
 
+class _Sign(dict):
+    """By code point: one sign for each (cost, class), so that texts are classified by ``str.translate``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.of: dict[tuple[float, str], str] = {}
+        self.cost: dict[str, float] = {}
+        self.kind: dict[str, str] = {}
+
+    def __missing__(self, code: int) -> str:
+        key = base_cost(chr(code))
+        if key not in self.of:
+            sign = chr(0x100 + len(self.of))
+            self.of[key], self.cost[sign], self.kind[sign] = sign, *key
+        self[code] = self.of[key]
+        return self[code]
+
+
+_SIGNS = _Sign()
+#: Classes of characters that need no look at their neighbours, and those that nothing about is unusual.
+_QUIET, _SOUND = frozenset("a0hkpcwrxoim"), frozenset("a0hkpc")
+
+
+@lru_cache(maxsize=4_096)
 def cost_and_mass(text: str) -> tuple[float, float]:
     """(cost of a text, mass of characters that no sound text has).
 
     Letters of a foreign alphabet are cheap only in a word of their own script, accented ones only beside plain letters;
     signs that decoding leaves behind (quotes, daggers, currency signs) are dear beside such letters.
     """
-    cost = mass = 0.0
-    kinds = [base_cost(ch) for ch in text]
-    n = len(kinds)
-    for i, (x, k) in enumerate(kinds):
+    signs = text.translate(_SIGNS)
+    of = _SIGNS.kind
+    cost, noisy = 0.0, []
+    for s in set(signs):
+        cost += signs.count(s) * _SIGNS.cost[s]
+        if of[s] not in _QUIET:
+            noisy.append(s)
+    mass = 0.0
+    n = len(signs)
+    for m in re.finditer("[" + "".join(noisy) + "]", signs) if noisy else ():
+        i = m.start()
+        k = of[m[0]]
         if k == "!":
             mass += 4.0
-        elif k in "lgysu":
-            before = kinds[i - 1][1] if i else "0"
-            after = kinds[i + 1][1] if i + 1 < n else "0"
-            own = k if k in "gy" else "l"
-            good = (own, "a", "m") if own == "l" else (own,)
-            if k == "s":
+            continue
+        before = of[signs[i - 1]] if i else "0"
+        after = of[signs[i + 1]] if i + 1 < n else "0"
+        if k == "s":
+            mass += 1.0
+        elif k == "u":
+            if before in "ys!" or after in "ys!":
+                cost += 1.5
                 mass += 1.0
-            elif k == "u":
-                if before in "ys!" or after in "ys!":
-                    x += 1.5
-                    mass += 1.0
-                elif before == "l" or after == "l":
-                    x += 1.0
-                    mass += 0.3
-            else:
-                close = (before in good) + (after in good)
-                if k == "l" and (before == "l" and after == "l"):
-                    x += 1.5  # a row of accented letters
-                    mass += 0.7
-                elif not close:
-                    x += 2.0
-                    mass += 0.7
-                elif k in "gy" and (before in "s!aw" or after in "s!aw"):
-                    x += 0.8
-        cost += x
+            elif before == "l" or after == "l":
+                cost += 1.0
+                mass += 0.3
+        else:
+            good = (k,) if k in "gy" else ("l", "a", "m")
+            if k == "l" and before == "l" and after == "l":
+                cost += 1.5  # a row of accented letters
+                mass += 0.7
+            elif before not in good and after not in good:
+                cost += 2.0
+                mass += 0.7
+            elif k in "gy" and (before in "s!aw" or after in "s!aw"):
+                cost += 0.8
     return cost, mass
 
 
+def unusual(text: str) -> bool:
+    """Whether a text has any character besides ASCII, kana, common kanji and their punctuation.
+
+    A repair reads bytes again; bytes of text in any charset here, taken for another, give at least one such character:
+    common kanji alone lie in rows of their charsets whose bytes begin no character of UTF-8, and between charsets of two
+    bytes a kanji becomes a kanji, which is never cheaper than a common one.
+    """
+    return any(_SIGNS.kind[s] not in _SOUND for s in set(text.translate(_SIGNS)))
+
+
+def written_out(text: str) -> bool:
+    """Whether a text holds references, escapes or sequences whose introducer was lost."""
+    return any(p.search(text) for p in (_STRIPPED, _REFERENCE, _PERCENT, _ESCAPE))
+
+
+def mostly_lost(text: str) -> bool:
+    """Question marks, four at least, that make up half of a text: what a charset without its letters leaves."""
+    return text.count("?") >= 4 and 2 * text.count("?") >= sum(not c.isspace() for c in text)
+
+
 @lru_cache(maxsize=None)
 def _single_byte(charset: str) -> dict[str, bytes] | None:
     """The bytes of a single-byte charset by character; bytes without one stand for the control of their number."""
@@ -165,37 +211,67 @@ def _bytes_of(ch: str, charset: str) -> bytes | None:
         return None
 
 
-def _segments(text: str, charset: str):
-    """Maximal runs of characters that the charset has, with at least one beyond ASCII: (start, end, bytes by character)."""
-    start, held, high = 0, [], False
-    for i, ch in enumerate(text):
-        b = _bytes_of(ch, charset)
-        if b is None:
-            if high:
-                yield start, i, held
-            start, held, high = i + 1, [], False
+@lru_cache(maxsize=None)
+def _charset(name: str) -> tuple[re.Pattern | None, dict[int, str] | None]:
+    """(runs of characters that a charset has, its bytes as code points by character); None for all characters, or for more than one byte."""
+    table = _single_byte(name)
+    if table is not None:
+        return re.compile("[" + re.escape("".join(table)) + "]+"), {ord(ch): chr(b[0]) for ch, b in table.items()}
+    if name == "gb18030":
+        return re.compile("[^\ud800-\udfff]+"), None
+    known = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and _bytes_of(chr(c), name) is not None]
+    spans: list[list[int]] = []
+    for c in known:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return re.compile("[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans) + "]+"), None
+
+
+def _segments(text: str, charset: str) -> list[tuple[int, int, bytes]]:
+    """Maximal runs of characters that the charset has, with at least one beyond ASCII: (start, end, bytes)."""
+    runs, table = _charset(charset)
+    out = []
+    for m in runs.finditer(text):
+        run = m[0]
+        if run.isascii() or table is None and not unusual(run):
+            continue
+        if table is not None:
+            whole = run.translate(table).encode("latin-1")
         else:
-            held.append(b)
-            high = high or b[0] > 0x7F
-    if high:
-        yield start, len(text), held
+            try:
+                whole = run.encode(charset)
+            except UnicodeEncodeError:
+                whole = b"".join(_bytes_of(ch, charset) for ch in run)
+        if not whole.isascii():
+            out.append((m.start(), m.end(), whole))
+    return out
 
 
-def reread(text: str, read_as: str, written_in: str) -> str | None:
+def _places(text: str, start: int, end: int, charset: str) -> dict[int, int] | range:
+    """Place in the run of every character's first byte."""
+    if _charset(charset)[1] is not None:
+        return range(end - start + 1)
+    edges, at = {0: 0}, 0
+    for k in range(start, end):
+        at += len(_bytes_of(text[k], charset))
+        edges[at] = k + 1 - start
+    return edges
+
+
+def reread(text: str, read_as: str, written_in: str, segments: list[tuple[int, int, bytes]] | None = None) -> str | None:
     """``text`` with every part read again that fits; None where nothing changes.
 
     Sequences that are no whole characters of the other charset stay as they are, so that text garbled in part, or
     with bytes lost, is repaired where it can be.
     """
     out, last = [], 0
-    for start, end, held in _segments(text, read_as):
-        whole = b"".join(held)
+    for start, end, whole in _segments(text, read_as) if segments is None else segments:
         if written_in == "utf-8":
-            edges, at = {0: start}, 0
-            for k, b in enumerate(held):
-                at += len(b)
-                edges[at] = start + k + 1
+            edges = None
             for m in _UTF8_RUN.finditer(whole):
+                edges = edges or _places(text, start, end, read_as)
                 a, b = m.span()
                 while a < b and a not in edges:
                     a += 1
@@ -212,17 +288,19 @@ def reread(text: str, read_as: str, written_in: str) -> str | None:
                     if b <= a or b not in edges:
                         continue
                     fixed = whole[a:b].decode("utf-8")
-                out += [text[last : edges[a]], fixed]
-                last = edges[b]
+                out += [text[last : start + edges[a]], fixed]
+                last = start + edges[b]
         else:
             try:
                 fixed = whole.decode(written_in)
             except UnicodeDecodeError:
                 fixed = whole.decode(written_in, errors="replace")
-                if fixed.count("�") * 3 > len(fixed):
+                if fixed.count("\ufffd") * 3 > len(fixed):
                     continue
             out += [text[last:start], fixed]
             last = end
+    if not out:
+        return None
     out.append(text[last:])
     joined = "".join(out)
     return None if joined == text else joined
@@ -280,27 +358,34 @@ def neighbours(text: str):
     if _ESCAPE.search(text):
         yield "escapes", _ESCAPE.sub(lambda m: m[0].encode("latin-1").decode("unicode_escape"), text)
     for r in READ_AS:
-        for w in WRITTEN_IN:
+        segments = _segments(text, r)
+        for w in WRITTEN_IN if segments else ():
             if r != w:
-                found, name = reread(text, r, w), f"{r}>{w}"
+                found, name = reread(text, r, w, segments), f"{r}>{w}"
                 while found is not None:
                     yield name, found
                     # text garbled twice alike looks no better after one repair, so the second is tried at once
                     found, name = reread(found, r, w) if w == "utf-8" and r in ("latin-1", "cp1252") and name.count("+") < 2 else None, f"{name}+{r}>{w}"
 
 
-def search(text: str) -> tuple[str, list[str], float, float]:
-    """(cheapest text reachable, repairs that lead to it, its cost, cost of ``text``) by best-first search."""
+def search(text: str) -> tuple[str, list[str], float, float, bool]:
+    """(cheapest text reachable, repairs that lead to it, its cost, cost of ``text``, whether the search came to its end) by best-first search.
+
+    Texts much dearer than the cheapest one found so far are not pursued, as a step of a repair that makes text much worse
+    is none. The search ends where nothing is left to pursue, or where the cheapest text has nothing unusual, or little of it.
+    """
     own = cost_and_mass(text)[0]
     seen = {hash(text)}
     queue = [(own, 0, text, ())]
     best = (own, text, ())
     expanded = count = 0
-    while queue and expanded < MAX_STATES:
+    while queue:
         cost, _, now, path = heapq.heappop(queue)
+        if cost > 1.2 * best[0] + 4:
+            break  # so is everything behind it
+        if expanded == MAX_STATES:
+            return best[1], list(best[2]), best[0], own, False
         expanded += 1
-        if len(path) >= MAX_DEPTH or cost > 1.5 * best[0] + 10:
-            continue
         for repair, found in neighbours(now):
             key = hash(found)
             if key in seen:
@@ -311,56 +396,56 @@ def search(text: str) -> tuple[str, list[str], float, float]:
             heapq.heappush(queue, (c, count, found, (*path, repair)))
             if c < best[0] - 0.2:
                 best = (c, found, (*path, repair))
-        if best[0] <= 0.45 * max(1, len(best[1])) and best[2] and cost_and_mass(best[1])[1] == 0:
-            break  # as plausible as sound text is
-    return best[1], list(best[2]), best[0], own
-
-
-def examine(text: str) -> tuple[bool, str, list[str], bool]:
-    """(garbled, text restored as far as possible, repairs, whether nothing of it is lost)."""
-    suspect = _SOUND.sub("", text)
-    plain_kanji = suspect and all(base_cost(ch)[1] == "c" for ch in suspect)
-    marks = _LOST.search(text) or _STRIPPED.search(text) or _REFERENCE.search(text) or _PERCENT.search(text) or _ESCAPE.search(text)
-    if (not suspect or plain_kanji) and not marks:
-        return False, text, [], True
+        if best[2] and not written_out(best[1]) and (not unusual(best[1]) or best[0] <= 0.45 * len(best[1]) and cost_and_mass(best[1])[1] == 0):
+            break
+    return best[1], list(best[2]), best[0], own, True
+
+
+def examine(text: str) -> tuple[bool, str, list[str], bool, bool]:
+    """(garbled, text restored as far as possible, repairs, whether nothing of it is lost, whether the search came to its end)."""
+    lost = mostly_lost(text)
+    if not unusual(text) and not written_out(text):
+        return lost, text, [], not lost, True
     own, mass = cost_and_mass(text)
-    if _LOST.search(text):
+    if lost:
         mass += MIN_MASS
-    best, path, cost, _ = search(text)
-    clear = bool(path) and own - cost >= max(MIN_GAIN, MIN_SHARE * min(own, 40))
+    best, path, cost, _, ended = search(text)
+    # escape sequences that read as text are no chance, however little they save beside much sound text
+    enough = 0.2 if "iso-2022-jp" in path and cost_and_mass(best)[1] == 0 else max(MIN_GAIN, MIN_SHARE * min(own, 40))
+    clear = bool(path) and own - cost >= enough
     found = letters_restored(text)
     # a lone sign as in "20Â°C" is one in UTF-8 rather than a kanji among plain characters
     lone = sum(ch > "\x7f" for ch in text) == 2 and not any("utf-8" in x for x in path)
     if found != text and (lone or not clear):
         now, left = cost_and_mass(found)
         if now < own and left < MIN_MASS:
-            return True, found, ["letters>utf-8"], True
+            return True, found, ["letters>utf-8"], True, ended
     if clear:
-        return True, best, path, cost_and_mass(best)[1] < 1
-    return mass >= MIN_MASS, text, [], mass < 1
+        return True, best, path, cost_and_mass(best)[1] < 1, ended
+    return mass >= MIN_MASS, text, [], mass < 1, ended
 
 
 def find_garbled(records: DataFrame) -> DataFrame:
-    """``records`` (any key columns, field, text) with garbled BOOLEAN, restored STRING, repairs ARRAY<STRING>, whole BOOLEAN.
+    """``records`` (any key columns, field, text) with garbled BOOLEAN, restored STRING, repairs ARRAY<STRING>, whole BOOLEAN, searched BOOLEAN.
 
     restored is the text itself where it is sound, else the most plausible text found, also where part of it stays lost
-    (whole false). Null texts give nulls, blank ones are sound. Rows are kept one to one, in place; texts are taken whole.
+    (whole false); searched is false where MAX_STATES ended the search. Null texts give nulls, blank ones are sound. Rows are kept one to one, in place; texts are taken whole.
     """
 
-    @F.pandas_udf("struct<garbled:boolean,restored:string,repairs:array<string>,whole:boolean>")
+    @F.pandas_udf("struct<garbled:boolean,restored:string,repairs:array<string>,whole:boolean,searched:boolean>")
     def judged(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             if text is None:
-                rows.append((None, None, None, None))
+                rows.append((None, None, None, None, None))
             else:
                 rows.append(examine(text))
-        out = pd.DataFrame(rows, columns=["garbled", "restored", "repairs", "whole"])
-        return out.astype({"garbled": "object", "whole": "object"})
+        out = pd.DataFrame(rows, columns=["garbled", "restored", "repairs", "whole", "searched"])
+        return out.astype({"garbled": "object", "whole": "object", "searched": "object"})
 
     name = "__ll_judged"
     while name in records.columns:
         name += "_"
-    keep = [F.col(f"`{c}`") for c in records.columns if c not in ("garbled", "restored", "repairs", "whole")]
+    keep = [F.col(f"`{c}`") for c in records.columns if c not in ("garbled", "restored", "repairs", "whole", "searched")]
     j = F.col(name)
-    return records.withColumn(name, judged("text")).select(*keep, j["garbled"].alias("garbled"), j["restored"].alias("restored"), j["repairs"].alias("repairs"), j["whole"].alias("whole"))
+    return records.withColumn(name, judged("text")).select(*keep, j["garbled"].alias("garbled"), j["restored"].alias("restored"), j["repairs"].alias("repairs"), j["whole"].alias("whole"), j["searched"].alias("searched"))

@@ -22,8 +22,8 @@ def test_garbled_texts_are_restored():
             bad = text.encode(wrote).decode(read)
         except UnicodeDecodeError:
             bad = "".join(bytes([b]).decode(read, "replace") if bytes([b]).decode(read, "replace") != "�" else chr(b) for b in text.encode(wrote))
-        garbled, fixed, repairs, whole = examine(bad)
-        assert garbled and fixed == text and whole, (wrote, read, fixed)
+        garbled, fixed, repairs, whole, ended = examine(bad)
+        assert garbled and fixed == text and whole and ended, (wrote, read, fixed)
     twice = text.encode("utf-8").decode("latin-1").encode("utf-8").decode("latin-1")
     assert examine(twice)[1] == text
     jis = text.encode("iso2022_jp").decode("ascii").replace("\x1b", "")
@@ -32,6 +32,8 @@ def test_garbled_texts_are_restored():
     assert examine(part)[1] == "作画はガーデンの質感に、静かな光まで"
     assert examine("�e���r�A�j���@第3話")[0] and examine("????????")[0]
     assert reread("abc", "latin-1", "utf-8") is None
+    for sound in ("Really???? What", "え????本当に？", "100%??", "?", "なぜ? どうして?"):
+        assert not examine(sound)[0], sound
 
 
 def test_single_garbled_letters_are_restored():

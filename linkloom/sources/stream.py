@@ -129,8 +129,9 @@ def stream_time(b: bytes) -> datetime.datetime:
 _SETS = {0x42: "kanji", 0x39: "kanji", 0x4A: "ascii", 0x36: "ascii", 0x30: "hiragana", 0x37: "hiragana", 0x31: "katakana", 0x38: "katakana", 0x49: "halfwidth", 0x3B: "extra"}
 # The last cells of the kana sets.
 _KANA_END = {0x77: ("ゝ", "ヽ"), 0x78: ("ゞ", "ヾ"), 0x79: "ー", 0x7A: "。", 0x7B: "「", 0x7C: "」", 0x7D: "、", 0x7E: "・"}
-# Signs of row 90 that programme titles use.
-_SIGNS = {0x7A50: "[HV]", 0x7A51: "[SD]", 0x7A55: "[手]", 0x7A56: "[字]", 0x7A57: "[双]", 0x7A58: "[デ]", 0x7A59: "[S]", 0x7A5A: "[二]", 0x7A5B: "[多]", 0x7A5C: "[解]", 0x7A5D: "[SS]", 0x7A62: "[映]", 0x7A63: "[無]", 0x7A67: "[前]", 0x7A68: "[後]", 0x7A69: "[再]", 0x7A6A: "[新]", 0x7A6B: "[初]", 0x7A6C: "[終]"}
+# The signs of row 90 of the broadcasting standard, from 0x7A50 on.
+_ROW_90 = "[HV] [SD] [P] [W] [MV] [手] [字] [双] [デ] [S] [二] [多] [解] [SS] [B] [N] ■ ● [天] [交] [映] [無] [料] [年齢制限] [前] [後] [再] [新] [初] [終] [生] [販] [声] [吹] [PPV] (秘) ほか".split()
+_SIGNS = {0x7A50 + i: sign for i, sign in enumerate(_ROW_90)}
 
 
 def decode_text(data: bytes) -> str:
@@ -198,6 +199,8 @@ def decode_text(data: bytes) -> str:
         else:
             raise ValueError(f"unknown control {b:#x}")
         i += 1
+    if single is not None:
+        raise ValueError("a single shift without a character")
     return "".join(out)
 
 

@@ -2,6 +2,7 @@ import datetime
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from linkloom.sources import files, stream, wire
@@ -86,7 +87,7 @@ def test_transport_streams(spark, tmp_path):
     assert stream.probe(long)["name"] == "海" * 120
     wide = b"".join(b"\0\0\0\0" + good[i : i + 188] for i in range(0, len(good), 188))
     assert stream.probe(wide)["name"] == "夜の海"
-    assert stream.decode_text(b"\x0e" + b"ABC" + b"\x0f" + arib("海") + b"\xa2\xf9") == "ABC海あー"
+    assert stream.stream.decode_text(b"\x0e" + b"ABC" + b"\x0f" + arib("海") + b"\xa2\xf9") == "ABC海あー"
     (tmp_path / "a.ts").write_bytes(good)
     (tmp_path / "b.ts").write_bytes(good + transport("ちがう"))
     paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.ts", "b.ts", "none.ts")], "path string")
@@ -105,3 +106,14 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out")).where(F.col("status") == "linked").collect()
     assert [(r["episode_id"], r["target"]) for r in out] == [(10, "/r/遠い海/遠い海 #1 「窓辺」.ts")]
+
+
+def test_broadcast_signs():
+    row = lambda *cells: b"".join(bytes([0x7A, c]) for c in cells)
+    assert stream.decode_text(row(0x56, 0x65, 0x6A, 0x6B, 0x6C, 0x6D, 0x6E)) == "[字][無][再][新][初][終][生]"
+    assert stream.decode_text(row(0x50, 0x60, 0x62, 0x63, 0x64, 0x67, 0x68, 0x69, 0x73, 0x74)) == "[HV]■[天][交][映][年齢制限][前][後](秘)ほか"
+    # katakana and hiragana on the right, Latin letters and kanji by shifts on the left
+    assert stream.decode_text(bytes.fromhex("1b7ca2cb1b7dcf0e410f2126")) == "アニはA・"
+    for bad in ("1b", "1b282040", "21", "7a7e", "95", "1d", "1b243a2121"):
+        with pytest.raises(ValueError):
+            stream.decode_text(bytes.fromhex(bad))

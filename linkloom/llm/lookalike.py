@@ -8,7 +8,6 @@ look-alikes below. Case, size of kana, accents, voicing, punctuation and the pre
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -79,14 +78,15 @@ def character_map() -> dict[str, str]:
         return same.get(ch, ch)
 
     out = {}
-    for c in range(sys.maxunicode + 1):
+    # the other planes hold no mapped character
+    for c in [*range(0xD800), *range(0xE000, 0x32000), *range(0xE0000, 0xE1000)]:
         ch = chr(c)
-        if 0xD800 <= c < 0xE000:
-            continue
-        # Hangul syllables have their letters by rule
-        to = unicodedata.normalize("NFD", ch) if 0xAC00 <= c < 0xD7A4 else expand(ch)
-        if to != ch:
-            out[ch] = to
+        if 0xAC00 <= c < 0xD7A4:
+            out[ch] = unicodedata.normalize("NFD", ch)  # Hangul syllables have their letters by rule
+        elif ch in same or ch in gone or ch in "\t゛゜" or unicodedata.category(ch) in ("Cf", "Zs") or unicodedata.decomposition(ch):
+            to = expand(ch)
+            if to != ch:
+                out[ch] = to
     return out
 
 
@@ -148,17 +148,21 @@ def _character_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ch string, parts array<struct<c:string,ccc:int,j:int>>")
 
 
-def _marks_composed(letter: Column) -> Column:
+def _composition_table() -> Column:
+    """Letters that marks compose, by mark and letter; the marks of kana come first, as they are looked for most."""
+    by_mark: dict[str, dict[str, str]] = {"\u3099": {}, "\u309a": {}}
+    for pair, whole in sorted(compositions().items()):
+        by_mark.setdefault(pair[1], {})[pair[0]] = whole
+    bases_of = lambda bases: ", ".join(f"'{a}', '{b}'" for a, b in bases.items())
+    return F.expr("map(" + ", ".join(f"'{mark}', map({bases_of(bases)})" for mark, bases in by_mark.items()) + ")")
+
+
+def _marks_composed(letter: Column, lookup: Column) -> Column:
     """The string of a letter and its marks, as an array of (c, ccc) ordered by class.
 
     The state keeps the letter, the marks that did not compose with it, and the class of the last of these: a mark
     composes unless an equal or higher class stands between.
     """
-    by_mark: dict[str, dict[str, str]] = {}
-    for pair, whole in sorted(compositions().items()):
-        by_mark.setdefault(pair[1], {})[pair[0]] = whole
-    bases_of = lambda bases: ", ".join(f"'{a}', '{b}'" for a, b in bases.items())
-    lookup = F.expr("map(" + ", ".join(f"'{mark}', map({bases_of(bases)})" for mark, bases in by_mark.items()) + ")")
     zero = F.struct(F.lit("").alias("open"), F.lit("").alias("rest"), F.lit(0).alias("last"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -185,21 +189,33 @@ def _recomposed(points: Column) -> Column:
 
     Every step is linear in the text: a letter is a slice of it, the letters are joined once.
     """
-    n = F.size(points)
-    # a mark joins any letter, a vowel of Hangul its leading letter, a trailing letter its vowel
-    joins = lambda i: (points[i]["ccc"] > 0) | ((points[i]["j"] >= 100) & (F.floor(points[i]["j"] / 100) == F.floor(points[i - 1]["j"] / 100) + 1))
-    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == 0, True).otherwise(~joins(i)))
-    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(n))
-    letters = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda x: F.slice(points, x["a"] + 1, x["b"] - x["a"]))
+    lookup = _composition_table()
+
+    def joins(i: Column) -> Column:
+        """A mark joins any letter, a vowel of Hangul its leading letter, a trailing letter its vowel."""
+        j, before = points[i]["j"], points[i - 1]["j"]
+        return (points[i]["ccc"] > 0) | ((j >= 100) & ((j < 200) & before.between(0, 99) | (j >= 200) & before.between(100, 199)))
 
     def one(letter: Column) -> Column:
-        hangul = (F.size(letter) > 1) & (letter[0]["j"] >= 0) & (letter[0]["j"] < 100) & letter[1]["j"].between(100, 199)
+        hangul = (letter[0]["j"] >= 0) & (letter[0]["j"] < 100) & letter[1]["j"].between(100, 199)
         plain = ~F.exists(letter, lambda x: x["ccc"] > 0)
+        pair = (F.size(letter) == 2) & (letter[1]["ccc"] > 0) & (letter[0]["ccc"] == 0)
         # stable in its class: the place goes before the character
         by_class = F.transform(F.array_sort(F.transform(letter, lambda x, i: F.struct(x["ccc"].alias("ccc"), i.alias("i"), x["c"].alias("c")))), lambda x: F.struct(x["c"].alias("c"), x["ccc"].alias("ccc")))
-        return F.when(F.size(letter) == 1, letter[0]["c"]).when(hangul & plain, _syllable(letter)).when(plain, F.array_join(F.transform(letter, lambda x: x["c"]), "")).otherwise(_marks_composed(by_class))
-
-    return F.array_join(F.transform(letters, one), "")
+        return (
+            F.when(F.size(letter) == 1, letter[0]["c"])
+            .when(pair, F.coalesce(lookup[letter[1]["c"]][letter[0]["c"]], F.concat(letter[0]["c"], letter[1]["c"])))
+            .when(hangul & plain, _syllable(letter))
+            .when(plain, F.array_join(F.transform(letter, lambda x: x["c"]), ""))
+            .otherwise(_marks_composed(by_class, lookup))
+        )
+
+    def joined(starts: Column) -> Column:
+        until = lambda k: F.coalesce(F.try_element_at(starts, k + 1), F.size(points))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.size(starts)), lambda k: one(F.slice(points, starts[k - 1] + 1, until(k) - starts[k - 1]))), "")
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(points) - 1), lambda i: F.when(i == 0, True).otherwise(~joins(i)))
+    return F.transform(F.array(starts), joined)[0]  # an array of one, so that the starts are found once
 
 
 def unify_texts(texts: DataFrame, column: str = "text") -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.llm.entity import belief_propagation, edit_distance, match_recordings, take_apart
+from linkloom.llm.entity import belief_propagation, edit_distance, heard_titles, match_recordings, take_apart
 from linkloom.llm import mixing
 from linkloom.llm.mixing import mix_period, mix_report, mix_schedule, period_shares, pfair_period
 
@@ -111,12 +111,87 @@ def test_belief_propagation_is_exact_on_a_tree(spark):
             z += w
             for i in range(4):
                 weights[i] += w * on[i]
-    got = {(r["a"], r["b"]): r["marginal"] for r in belief_propagation(spark.createDataFrame(pairs, "a string, b string, odds double"), rounds=40, tolerance=1e-6).collect()}
+    got = {(r["a"], r["b"]): r["marginal"] for r in belief_propagation(spark.createDataFrame(pairs, "a string, b string, odds double"), rounds=60, tolerance=1e-6).collect()}
     for i, (a, b, _) in enumerate(pairs):
         assert got[(a, b)] == pytest.approx(weights[i] / z, abs=1e-3)
     assert belief_propagation(spark.createDataFrame([], "a string, b string, odds double")).count() == 0
 
 
+def exact_marginals(pairs, again):
+    """By enumeration: an a takes part in one pair at most; pairs of one b beyond the first each multiply the weight by ``again``."""
+    import itertools
+    import math
+
+    total, sums = 0.0, [0.0] * len(pairs)
+    for on in itertools.product((0, 1), repeat=len(pairs)):
+        chosen = [p for p, o in zip(pairs, on) if o]
+        if len({p[0] for p in chosen}) < len(chosen):
+            continue
+        more = len(chosen) - len({p[1] for p in chosen})
+        w = math.exp(sum(p[2] for p in chosen)) * (again**more if more else 1.0)
+        total += w
+        sums = [s + w * o for s, o in zip(sums, on)]
+    return [s / total for s in sums]
+
+
+def test_belief_propagation_with_reruns_is_exact_on_a_tree(spark):
+    pairs = [("a1", "b1", 3.0), ("a2", "b1", 1.0), ("a3", "b1", 0.5), ("a2", "b2", 1.0), ("a4", "b4", 0.3)]
+    for again in (0.0, 0.3):
+        got = {(r["a"], r["b"]): r for r in belief_propagation(spark.createDataFrame(pairs, "a string, b string, odds double"), tolerance=1e-6, again=again).collect()}
+        assert all(r["settled"] for r in got.values())
+        for (a, b, _), want in zip(pairs, exact_marginals(pairs, again)):
+            assert got[a, b]["marginal"] == pytest.approx(want, abs=1e-3), (again, a, b)
+
+
+def test_loopy_graphs_decide_what_single_nodes_cannot(spark):
+    # three broadcasts, three episodes, each broadcast torn between two or three: a loop; both sides have more than one pair
+    pairs = [("a1", "b1", 2.0), ("a1", "b2", 0.5), ("a2", "b1", 2.0), ("a2", "b2", 1.8), ("a2", "b3", 0.2), ("a3", "b2", 1.0), ("a3", "b3", 1.0)]
+    df = spark.createDataFrame(pairs, "a string, b string, odds double")
+    assert min(df.groupBy("a").count().agg({"count": "avg"}).first()[0], df.groupBy("b").count().agg({"count": "avg"}).first()[0]) > 2
+    got = {(r["a"], r["b"]): r["marginal"] for r in belief_propagation(df, again=0.02).collect()}
+    exact = dict(zip([p[:2] for p in pairs], exact_marginals(pairs, 0.02)))
+    alone = exact_marginals([p for p in pairs if p[0] == "a2"], 0.0)
+    best = lambda m, a: max((p[:2] for p in pairs if p[0] == a), key=lambda k: m[k])
+    assert all(best(got, a) == best(exact, a) for a in ("a1", "a2", "a3")) and max(abs(got[k] - exact[k]) for k in got) < 0.15
+    # on its own a2 would take b1, as a1 does
+    assert alone[0] == max(alone) and best(got, "a2") == ("a2", "b2") and best(got, "a3") == ("a3", "b3")
+
+
+def test_messages_that_never_rest_are_reported(spark):
+    pairs = [(f"a{i}", f"b{j}", 6.0) for i in range(3) for j in range(3)]
+    out = belief_propagation(spark.createDataFrame(pairs, "a string, b string, odds double"), rounds=2, tolerance=1e-9).collect()
+    assert len(out) == 9 and not any(r["settled"] for r in out)
+
+
+def test_heard_titles(spark):
+    said = spark.createDataFrame([(1, "月影の庭師と剣舞の夜"), (1, "月影の庭師と険舞の夜"), (1, "x"), (2, "月影の庭師と剣舞の夜")], "work_id long, text string")
+    titles = spark.createDataFrame([(1, "月影の庭師と剣舞の夜"), (1, "月影の庭師と剣舞の朝"), (1, "y")], "work_id long, title string")
+    heard = {(r["work_id"], r["text"]): r["heard"] for r in heard_titles(said, titles).collect()}
+    assert set(heard) == {(1, "月影の庭師と剣舞の夜"), (1, "月影の庭師と険舞の夜")}
+    assert heard[1, "月影の庭師と剣舞の夜"] == {"月影の庭師と剣舞の夜": 1.0} and len(heard[1, "月影の庭師と険舞の夜"]) == 2
+
+
+def test_blocking_finds_what_brute_force_finds(spark):
+    from linkloom.llm.entity import candidate_titles, title_likeness
+
+    rng = random.Random(11)
+    parts = ["深い", "遠い", "黒い", "ペンギン", "パズル", "狐火", "ランタン", "harbor", "nocturne", "tempest", "の旅", "航路", "庭師", "デパート"]
+    works = sorted({"".join(rng.sample(parts, 3)) for _ in range(150)})
+    titles = []
+    for n, w in enumerate(works):
+        t = list(w)
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(t))
+            t[k : k + 1] = rng.choice([[], [t[k], "ン"], ["ヌ"]])
+        titles.append(("".join(t)[: 8 if n % 9 == 0 else 99], n % 9 == 0, ""))
+    known = spark.createDataFrame([(i, (w, None, [])) for i, w in enumerate(works)], "work_id long, p struct<base:string,season:int,words:array<string>>")
+    found = {(r["base"], r["cut"], r["work_id"]) for r in candidate_titles(spark.createDataFrame(titles, "base string, cut boolean, words string").distinct(), known).collect()}
+    exact = set(works)
+    want = {(b, c, i) for b, c, _ in titles for i, w in enumerate(works) if (b == w if b in exact else title_likeness(b, c, w) >= 0.65)}
+    assert found <= want and len(found) >= 0.9 * len(want), (len(found), len(want))
+    assert {x for x in want if x[0] in exact} <= found
+
+
 T0 = 1_784_500_000_000
 
 

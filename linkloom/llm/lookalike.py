@@ -212,7 +212,8 @@ def _recomposed(points: Column) -> Column:
 
     def joined(starts: Column) -> Column:
         until = lambda k: F.coalesce(F.try_element_at(starts, k + 1), F.size(points))
-        return F.array_join(F.transform(F.sequence(F.lit(1), F.size(starts)), lambda k: one(F.slice(points, starts[k - 1] + 1, until(k) - starts[k - 1]))), "")
+        letters = F.transform(F.sequence(F.lit(1), F.size(starts)), lambda k: F.slice(points, starts[k - 1] + 1, until(k) - starts[k - 1]))
+        return F.array_join(F.transform(letters, one), "")
 
     starts = F.filter(F.sequence(F.lit(0), F.size(points) - 1), lambda i: F.when(i == 0, True).otherwise(~joins(i)))
     return F.transform(F.array(starts), joined)[0]  # an array of one, so that the starts are found once

@@ -1,9 +1,10 @@
 """Keyword-stuffed and link-list pages.
 
 A page is cut into lines, and lines into prose, dated entries (episode lists, broadcast times) and list matter: links,
-tags, strings of keywords. List density is the share of list matter in the page. The phrases of list matter are exploded
-and their distinct hosts counted over the whole corpus: a page is stuffed where list matter is more than half of it and
-this matter is made of links, of phrases that other hosts carry as well, or of the same phrases over and over.
+tags, strings of keywords. List density is the share of list matter in the page. Every line, prose too, is exploded into
+phrase shingles: what stands between two delimiters, or every run of a few words of it. The distinct hosts that carry a
+phrase are counted over the whole corpus: a page is stuffed where list matter is more than half of it and this matter is
+stitched from phrases that other hosts carry as well, from links, or from the same phrases over and over.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ _ANCHOR = re.compile(r"\[url=[^\]]*\](.*?)\[/url\]|<a\s[^>]*>(.*?)</a>|\[([^\[\]
 _TAG = re.compile(r"#[^\s#,、]+")
 _ENTRY = re.compile(r"第\s*[0-9.]+\s*話|\bep(?:isode|\.)?\s*\d|\d{1,2}:\d{2}|\d{1,2}月\d{1,2}日", re.IGNORECASE)
 _PARTS = re.compile(r"(?:[^\w'-]|_)+")
+#: What parts phrases: signs, but no blanks within a line.
+_DELIMITERS = re.compile(r"(?:[^\w\s'-]|_|\n)+")
 _JAPANESE = re.compile(r"[぀-ヿ㐀-鿿]")
 _WORD = re.compile(r"[^\W\d_][\w'-]*")
 # Words that sentences are held together with.
@@ -63,25 +66,42 @@ def is_prose(text: str) -> bool:
     return ("。" in t and mean(re.sub(r"\s", "", t)) >= 7) or (mean(t) >= 11 and len(GLUE_KANA & set(t)) >= 3)
 
 
-def dissect(text: str, shingle: int = 6, words: int = 5) -> tuple[int, int, int, float, Counter]:
+def shingles(line: str, words: int):
+    """(phrase, characters) of a line: each delimited piece of up to ``words`` words, or every run of so many words.
+
+    The characters of a piece are dealt to its runs by the word that each begins with, so that they add up to the piece.
+    """
+    for piece in _DELIMITERS.split(line):
+        run = piece.casefold().split()
+        last = len(run) - words
+        for i in range(max(1, last + 1) if run else 0):
+            yield " ".join(run[i : i + words]), sum(map(len, run[i:])) if i >= last else len(run[i])
+
+
+def dissect(text: str, shingle: int = 6, words: int = 2) -> tuple[int, int, int, float, dict[str, int]]:
     """(characters, of list matter, of links in it, share of list matter that repeats within the page, phrases).
 
-    Blanks do not count. Phrases are the delimited pieces of list matter, at most ``words`` words each, with the
-    characters that they cover. Lines that are no prose alone are tried again joined, as a text may be broken into short
-    lines.
+    Blanks do not count. What repeats are stretches of a few letters, or words, whichever are more. phrases are the
+    shingles of the whole page, with the characters of list matter that each covers. Lines that are no prose alone are tried
+    again joined, as a text may be broken into short lines.
     """
     total = listed = linked = 0
     matter: list[str] = []
     closed = False
-    phrases: Counter = Counter()
+    phrases: dict[str, int] = {}
     held: list[tuple[str, int]] = []
 
+    def note(line: str, weight: int) -> None:
+        for phrase, n in shingles(line, words):
+            phrases[phrase] = phrases.get(phrase, 0) + n * weight
+
     def close() -> None:
         nonlocal listed
         if not held:
             return
         lines = [x for x, _ in held]
         if len(lines) > 1 and (is_prose("".join(lines)) or is_prose(" ".join(lines))):
+            note(" ".join(lines), 0)
             held.clear()
             return
         for line, n in held:
@@ -101,10 +121,9 @@ def dissect(text: str, shingle: int = 6, words: int = 5) -> tuple[int, int, int,
         rest = _URL.sub(" ", _ANCHOR.sub(lambda m: " " + next((g for g in m.groups() if g), "") + " , ", line))
         tags = _TAG.findall(rest)
         plain = _TAG.sub(" ", rest)
-        if is_prose(plain):
-            close()
-        elif not links and len(tags) < 2 and _ENTRY.search(line):
+        if is_prose(plain) or not links and len(tags) < 2 and _ENTRY.search(line):
             close()
+            note(plain, 0)
         elif links or tags:
             close()
             listed += size
@@ -114,72 +133,75 @@ def dissect(text: str, shingle: int = 6, words: int = 5) -> tuple[int, int, int,
         else:
             held.append((line, size))
     close()
-    flat = []
     for line in matter:
-        for piece in _PARTS.split(line):
-            piece = piece.strip("#!?.:()[]「」『』【】").casefold()
-            if piece:
-                piece = " ".join(piece.split()[:words])
-                phrases[piece] += len(piece)
-        flat.append(re.sub(r"\s+", " ", line))
+        note(line, 1)
+    flat = [re.sub(r"\s+", " ", line) for line in matter]
     stream = "\n".join(flat)
     if closed:
         shingle = max(2, shingle // 3)  # closed up, keywords have lost the gaps between them
     windows = Counter(stream[i : i + shingle] for i in range(len(stream) - shingle + 1))
     again = sum(n for n in windows.values() if n > 1) / max(1, sum(windows.values()))
+    # words that come more than once, where a list has blanks or signs between them
+    counts = Counter(w for line in matter for w in _PARTS.split(line.casefold()) if w)
+    echo = sum(len(w) * n for w, n in counts.items() if n > 1) / max(1, sum(len(w) * n for w, n in counts.items()))
+    again = max(again, echo)
     return total, listed, linked, again, phrases
 
 
-def list_units(documents: DataFrame) -> DataFrame:
-    """(doc_id, site, chars, listed, linked, again, phrases ARRAY<STRUCT<h BIGINT, n INT, once BOOLEAN>>) of documents with a text.
+UNITS = "doc_id bigint, site string, chars int, listed int, linked int, again double, phrases array<bigint>, covers array<int>"
+
+
+def list_units(documents: DataFrame, words: int = 2) -> DataFrame:
+    """A row for each document with a text: its size, its list matter, and its phrases; columns as in UNITS.
 
-    h is a hash of the phrase, n the characters of the page that it covers, once whether it comes a single time.
+    phrases are hashes, covers the characters of list matter that each covers.
     """
-    schema = "doc_id bigint, site string, chars int, listed int, linked int, again double, phrases array<struct<h:bigint,n:int,once:boolean>>"
 
     def scan(batches):
+        import numpy as np
         import xxhash
 
         for pdf in batches:
             rows = []
             for doc_id, site, text in zip(pdf["doc_id"], pdf["site"], pdf["text"], strict=True):
-                total, listed, linked, again, phrases = dissect(text)
-                found = [{"h": xxhash.xxh64_intdigest(p.encode()) - (1 << 63), "n": n, "once": n < 2 * len(p)} for p, n in phrases.items()]
-                rows.append((doc_id, site, total, listed, linked, again, found))
-            yield pd.DataFrame(rows, columns=["doc_id", "site", "chars", "listed", "linked", "again", "phrases"])
+                total, listed, linked, again, found = dissect(text, words=words)
+                hashes = np.fromiter((xxhash.xxh64_intdigest(p.encode()) - (1 << 63) for p in found), "int64", len(found))
+                covers = np.fromiter(found.values(), "int32", len(found))
+                rows.append((doc_id, site, total, listed, linked, again, hashes, covers))
+            yield pd.DataFrame(rows, columns=["doc_id", "site", "chars", "listed", "linked", "again", "phrases", "covers"])
 
     cols = documents.select(F.col("doc_id").cast("long"), "site", "text").where("doc_id is not null and text is not null and text <> ''")
-    return cols.mapInPandas(scan, schema)
+    return cols.mapInPandas(scan, UNITS)
 
 
-def stuffed_pages(documents: DataFrame, density: float = 0.5, hosts: int = 3, evidence: float = 0.5) -> DataFrame:
+def stuffed_pages(documents: DataFrame, density: float = 0.5, hosts: int = 3, evidence: float = 0.5, words: int = 2) -> DataFrame:
     """(doc_id, chars, list_share, link_share, replicated_share, repeated_share, stuffed) for every page with list matter.
 
     documents(doc_id, site, text). list_share is of the page, the other shares are of its list matter: in lines with
-    links; in phrases that at least ``hosts`` distinct hosts carry or that the page repeats; in stretches repeated within the page. stuffed where
-    list_share exceeds ``density`` and one of the others reaches ``evidence``. Pages without list matter, null and empty
-    texts have no row. A null site is a host of its own. Repeated rows are judged alike and kept.
+    links; in phrases that at least ``hosts`` distinct hosts carry, anywhere in their pages; in stretches repeated within
+    the page. stuffed where list_share exceeds ``density`` and one of the others reaches ``evidence``. Pages without list
+    matter, null and empty texts have no row. A null site is a host of its own. Repeated rows are judged alike and kept.
 
     Phrases are counted in two steps, (phrase, host) and phrase, both partly summed before the shuffle, so no frequent
-    phrase and no large host gathers in one task.
+    phrase and no large host gathers in one task. Only phrases of dense pages are looked up again.
     """
-    units = checkpointed(list_units(documents).where("listed > 0"))
-    every = units.select(F.coalesce("site", F.lit("")).alias("site"), F.explode("phrases").alias("p")).select("site", F.col("p.h").alias("h"))
-    wide = every.groupBy("h", "site").count().groupBy("h").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= hosts).select("h")
-    dense = units.where(F.col("listed") > density * F.col("chars"))
-    carried = dense.select("doc_id", F.explode("phrases").alias("p")).where("p.once").select("doc_id", F.col("p.h").alias("h"), F.col("p.n").alias("n"))
-    all_n = F.aggregate("phrases", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    twice_n = F.aggregate("phrases", F.lit(0).cast("long"), lambda a, x: a + F.when(x["once"], 0).otherwise(x["n"]))
+    units = checkpointed(list_units(documents, words))
+    every = units.select(F.coalesce("site", F.lit("")).alias("site"), F.explode("phrases").alias("h"))
+    wide = every.groupBy("h", "site").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= hosts).select("h")
+    pages = units.where("listed > 0")
+    dense = pages.where(F.col("listed") > density * F.col("chars"))
+    # a page delivered twice under one id is one page here
+    own = dense.groupBy("doc_id").agg(F.max(F.struct("phrases", "covers")).alias("p")).select("doc_id", F.explode(F.arrays_zip("p.phrases", "p.covers")).alias("x"))
+    carried = own.select("doc_id", F.col("x.phrases").alias("h"), F.col("x.covers").alias("n")).where("n > 0")
     known = carried.join(wide, "h", "left_semi").groupBy("doc_id").agg(F.sum("n").alias("known"))
-    # a page delivered twice under one id has its phrases summed twice: divided by its deliveries again
-    times = dense.groupBy("doc_id").agg(F.count("*").alias("times"))
-    joined = units.join(known.join(times, "doc_id"), "doc_id", "left").withColumn("all_n", all_n).withColumn("twice_n", twice_n)
+    covered = F.aggregate("covers", F.lit(0).cast("long"), lambda a, x: a + x)
+    joined = pages.withColumn("covered", covered).drop("phrases", "covers").join(known, "doc_id", "left")
     shares = joined.select(
         "doc_id",
         "chars",
         (F.col("listed") / F.col("chars")).alias("list_share"),
         (F.col("linked") / F.col("listed")).alias("link_share"),
-        F.when(F.col("all_n") > 0, F.least(F.lit(1.0), (F.col("twice_n") + F.coalesce(F.col("known") / F.col("times"), F.lit(0))) / F.col("all_n"))).otherwise(0.0).alias("replicated_share"),
+        F.when(F.col("covered") > 0, F.least(F.lit(1.0), F.coalesce("known", F.lit(0)) / F.col("covered"))).otherwise(0.0).alias("replicated_share"),
         F.col("again").alias("repeated_share"),
     )
     proof = F.greatest("link_share", "replicated_share", "repeated_share") >= evidence

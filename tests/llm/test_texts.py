@@ -170,3 +170,31 @@ def test_stuffed(spark):
     assert stuffed_pages(df.limit(0)).count() == 0
     total, listed, *_ = dissect("Once Koton learns \nwhat the nameless \ncottage is, Sayari\n stays behind in C\nobalt Hill with th\ne ferry.")
     assert total > 60 and listed == 0
+
+
+def test_other_hosts_decide(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("アイウエオカキクケコサシスセソタチツテト") for _ in range(rng.randint(3, 6)))
+    phrases = sorted({word() for _ in range(60)})
+    page = "・".join(phrases)
+    pairs = [f"{a} {b}" for a, b in zip(phrases[::2], phrases[1::2])]
+    spaced = " ".join(phrases)  # one run of words: only its pairs in order are phrases
+
+    def judge(others):
+        docs = [(1, "h1", page), (2, "h1", spaced)] + [(10 + i, h, t) for i, (h, t) in enumerate(others)]
+        out = stuffed_pages(spark.createDataFrame(docs, "doc_id long, site string, text string"))
+        return {r["doc_id"] for r in out.where("stuffed").collect()} & {1, 2}
+
+    prose = "。".join(f"{PROSE}、{p}" for p in phrases)
+    assert judge([]) == set()  # a list of its own words
+    assert judge([("h2", prose), ("h2", prose), ("h1", page)]) == set()  # two hosts
+    assert judge([("h2", prose), ("h3", prose)]) == {1}  # three, in sentences too
+    assert judge([(h, "、".join(f"{PROSE}、{p}" for p in pairs[1:])) for h in ("h2", "h3")]) == set()  # half of the pairs
+    assert judge([("h2", spaced), ("h3", PROSE + spaced)]) == {2}
+
+
+def test_shingles_add_up():
+    from linkloom.llm.stuffing import shingles
+
+    assert list(shingles("aa bb  cc, dd / ee ff", 2)) == [("aa bb", 2), ("bb cc", 4), ("dd", 2), ("ee ff", 4)]
+    assert list(shingles(" ,, ", 2)) == [] and sum(n for _, n in shingles("x" * 9_999 + " y・z", 3)) == 10_001

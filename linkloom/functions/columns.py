@@ -32,6 +32,12 @@ def season_of(date: Column) -> Column:
     return F.concat_ws("-", F.year(date), F.element_at(F.array(*[F.lit(x) for x in ("winter", "spring", "summer", "autumn")]), F.quarter(date)))
 
 
+def title_year(title: Column) -> Column:
+    """The year that a title names in parentheses: (2011), （2011年版）."""
+    year = F.regexp_extract(narrow(title), "[(]([0-9]{4})(?:年版)?[)]", 1).try_cast("int")
+    return F.when(year > 0, year)
+
+
 def label_number(text: Column) -> Column:
     """The positive whole number of a label that is nothing but one: 第7話, 7話, #07, ep.7, 7; null otherwise."""
     t = plain_key(text)

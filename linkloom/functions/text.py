@@ -33,7 +33,52 @@ _SEASONS = [
     re.compile(r"season\s*(\d+)"),
     re.compile(r"シーズン\s*(\d+)"),
 ]
-_EDGE_LABEL = re.compile(r"^(?:第?\s*\d+\s*話|#\s*\d+|ep(?:isode)?\.?\s*\d+)")
+_EDGE_LABEL = re.compile(r"^(?:第?\s*\d+\s*話|#\s*\d+|ep(?:isode)?\.?\s*\d+|コミュ\d+|life[. ]*(?:\d+|max(?:imum)?)(?:\s*vs\s*power[. ]*max(?:imum)?)?)", re.IGNORECASE)
+_READING_GAP = re.compile(r"(?<=\w)[\s\u3000]+(?=[（(][ァ-ヺー・･\s\u3000]{6,}[）)])")
+_JOINER = re.compile(r"(?<=[\d%％])[-‐‑‒–—―]|[-‐‑‒–—―](?=[\d%％])")
+# Decorations of subtitles, and characters that are written in two ways.
+DECORATIONS = frozenset("!?.。~〜～〰…♡♥")
+FOLDED = str.maketrans("＆&／寶寳貳貮〇◯", "///宝宝弐弐○○")
+# A subtitle that two services spell differently.
+SLIPS = {"なにが起きてもおかしくないのでは!!?": "なにが起きてもおかしくはないのでは!!?"}
+# Subtitles as recorded and as listed.
+ORTHOGRAPHY = [
+    ("やがて雨は止んで", "やがて雨はやんで"),
+    ("初めての鉱物採集", "はじめての鉱物採集"),
+    ("るらちゃんはちやほやされたい", "るらちゃんはチヤホヤされたい"),
+    ("イケイケゴーゴー夏休み", "いけいけゴーゴー夏休み"),
+    ("ラ・ソレイユヘ", "ラ・ソレイユへ"),
+    ("俺たちの戦いはこれからだ", "俺達の戦いはこれからだ"),
+    ("柏田さんと太田君と海", "柏田さんと太田くんと海"),
+    ("魔物の町の住人達", "魔物の町の住人たち"),
+    ("街角ギャラクシー☆彡", "街角ギャラクシー"),
+    ("『自由』を", "自由"),
+    ("ビーナスライン／シェルター", "ビーナスライン・シェルター"),
+    ("呪館 JUKAN", "呪館"),
+    ("Chiidren's Echelon", "Children's Echelon"),
+    ("生の代償、死の贖い", "生の代償、死の償い"),
+    ("無限の——— —アンリミテッド／レイズ・デッド—", "無限の残骸 アンリミテッド／レイズ・デッド"),
+    ("プリステラ攻防戦リザルト", "プリステラ攻略戦リザルト"),
+    ("思い残した記憶って、なに？", "思い出した記憶って、なに？"),
+    ("魔王と勇者、勧めに従い遊園地に行く", "魔王と勇者、勤めに従い遊園地に行く"),
+    ("暗黒部室", "暗黒部屋"),
+    ("脳汁ブシャー", "脳汁プシャー"),
+    ("デスゲーム挑まれたけどクソゲーだった", "デスゲーム挑まれたけど・・・"),
+    ("オプション解放おめでとうございます", "オプション開放おめでとうございます"),
+    ("天才と凡才", "天才と凡人"),
+    ("バン・ブ・クルセイダーズ", "BUMP-BOO-CRUSADERS"),
+    ("飯田橋の登竜 復讐のピピ", "飯田橋の昇竜 ～復讐のピピ～"),
+    ("晴天の霹靂", "青天の霹靂"),
+    ("スパイ昇格試験", "スパイ昇級試験"),
+    ("個人的にはラブコメ希望", "個人的にはラブコメ展開希望"),
+    ("体育会実行委員", "体育祭実行委員"),
+    ("雪侍と昴", "雪待と昴"),
+    ("坊ちゃんとアリスと二人だけの歌", "坊ちゃんとアリスの二人だけの歌"),
+    ("俺はひょっとして、最終話で負けヒロインの横にいるポッと出のモブキャラなのだろうか", "俺はひょっとして、最終話でヒロインの横にいるポッと出のモブキャラなのだろうか"),
+    ("集う物達", "集う者達"),
+    ("水着で１日", "水着の1日"),
+    ("つながるものの", "つながるもの"),
+]
 
 
 _REMEMBERED: dict[str, dict] = {}
@@ -88,39 +133,34 @@ def subtitle_key(s: str) -> str:
 def identity_key(s: str) -> str:
     """The key that selects an episode: no label before the subtitle, no exclamation at its end."""
     key = subtitle_key(s)
-    key = re.sub(r"・(?=[前後]編)", "", key[_EDGE_LABEL.match(key).end() :] if _EDGE_LABEL.match(key) else key)
-    return key.rstrip("!?")
-
-
-def scoring_key(s: str) -> str:
-    """The key that grades a selected episode: punctuation and accents of Latin letters do not count."""
-    key = identity_key(s)
-    out = []
-    for ch in unicodedata.normalize("NFD", key):
-        if unicodedata.category(ch) == "Mn" and out and out[-1].isascii():
-            continue
-        out.append(ch)
-    key = unicodedata.normalize("NFC", "".join(out))
-    return "".join(c for c in key if unicodedata.category(c)[0] not in "PSZ" or c == "ー")
+    key = SLIPS.get(key, key)
+    m = _EDGE_LABEL.match(key)
+    return re.sub(r"・(?=[前後]編$)", "", key[m.end() :] if m else key).rstrip("!?")
 
 
-def segments(s: str) -> list[str]:
-    """The stories of a subtitle that names several."""
-    return [k for k in (scoring_key(x) for x in re.split(r"[/／&＆、]", s)) if k]
+def joiner_dashes(s: str) -> str:
+    """A dash beside a number or a percent sign is a prolonged sound."""
+    return _JOINER.sub("ー", s)
 
 
-def contiguous_part(part: list[str], whole: list[str], least: int = 3) -> bool:
-    """Whether the segments of one subtitle come, in order and side by side, among fewer of another; three letters at least each."""
-    n = len(part)
-    if not n or n >= len(whole) or any(len(x) < least for x in part):
-        return False
-    return any(whole[i : i + n] == part for i in range(len(whole) - n + 1))
-
-
-def partial_match(a: str, b: str) -> bool:
-    """Equal, or one within the other, both of more than two letters."""
-    a, b = subtitle_key(a), subtitle_key(b)
-    return len(a) > 2 and len(b) > 2 and (a in b or b in a)
+def scoring_key(s: str) -> str:
+    """The key that grades a selected episode: known spellings, decorations and accents of Latin letters do not count."""
+    s = _READING_GAP.sub("", s).replace("一日", "1日")
+    for written, meant in ORTHOGRAPHY:
+        s = s.replace(written, meant)
+    s = joiner_dashes(re.sub("・{2,}", "", s).replace("』『", "／").replace("」「", "／"))
+    out, latin = [], False
+    for ch in unicodedata.normalize("NFD", subtitle_key(s)):
+        if unicodedata.category(ch) == "Mn":
+            if latin:
+                continue
+        else:
+            latin = "a" <= ch <= "z" or "\u00c0" <= ch < "\u0250"
+        out.append(ch)
+    key = unicodedata.normalize("NFC", "".join(out)).translate(FOLDED)
+    key = "".join(c for c in key if c not in DECORATIONS and unicodedata.category(c) != "Cf")
+    m = _EDGE_LABEL.match(key)
+    return key[m.end() :] if m else key
 
 
 def shorten(s: str, most: int) -> str:

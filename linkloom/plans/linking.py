@@ -36,7 +36,7 @@ def r03_schedule_proof(spark: SparkSession, folder: str) -> DataFrame:
     w, e = linking.catalogue_keys(table(spark, folder, "works"), table(spark, folder, "episodes"))
     records = linking.parse_recordings(files).where("error is null")
     pairs = linking.candidate_works(records, w)
-    return linking.schedule_proof(records, w, pairs, e, programs(spark, folder, "tid", "count", "deleted", "warn", "t"))
+    return linking.schedule_proof(records, w, pairs, e, programs(spark, folder, "tid", "count", "channel_id", "subtitle", "deleted", "warn", "t")).select("rec", "episode_id", "work_id", "tier")
 
 
 def k03_sidecars(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,6 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
 from linkloom.functions.names import fraction_label, kanji_value, parse_name, quoted, trailing_quote
@@ -36,10 +37,9 @@ def test_any_name_parses_or_is_refused(name):
 def test_keys():
     assert T.title_key("孤独な転校生 Trémolo (2024年版) 第二期") == T.title_key("孤独な転校生・Ｔｒéｍｏｌｏ Season 2")
     assert T.normalise("は゛ｶﾞ") == "ばガ" and T.normalise("フィルム") == "フイルム" and T.repair_dashes("カ―ド ―夜―") == "カード ―夜―"
-    assert T.identity_key("第3話 窓辺！") == "窓辺" and T.scoring_key("Café・夜") == "cafe夜"
+    assert T.identity_key("第3話 窓辺！") == "窓辺" and T.scoring_key("Café・夜…") == "cafe・夜"
     assert T.without_readings("騎士(きし)の夜（前編）") == "騎士の夜（前編）"
-    assert T.contiguous_part(["あいう", "えおか"], ["xyz", "あいう", "えおか"]) and not T.contiguous_part(["あいう"], ["あいう"])
-    assert T.partial_match("遠い海の夜", "海の夜") and not T.partial_match("夜", "夜")
+    assert T.scoring_key("100-メートル") == T.scoring_key("100ーメートル") and T.scoring_key("寶の夜…♡") == "宝の夜"
 
 
 @settings(max_examples=200, deadline=None)
@@ -85,3 +85,104 @@ def test_link_by_trusted_channel_and_corroborated_rows(spark):
     assert [out[i]["status"] for i in (4, 5, 6)] == ["open"] * 3
     few = {r["rec"]: r for r in link(files.where("rec <> 1"), works, episodes, programs).collect()}
     assert few[2]["status"] == "open"  # one mark is not trusted
+
+
+WORK = "id int, title string, title_kana string, media string, media_text string, season_name string, season_name_text string, released_on string, syobocal_tid string, episodes_count int, watchers_count int"
+EPISODE = "id int, work_id int, number double, number_text string, sort_number int, title string"
+PROGRAM = "pid int, tid int, count int, channel_id int, subtitle string, t long, t_end long, deleted boolean, warn boolean"
+DAY0 = 1_784_200_000_000  # 2026-07-16
+
+
+def catalogue(spark, works, episodes):
+    w = spark.createDataFrame([(i, t, None, "tv", None, s, None, None, tid, n, 0) for i, t, s, tid, n in works], WORK)
+    return w, spark.createDataFrame(episodes, EPISODE)
+
+
+def test_tiers_finals_and_parts(spark):
+    works = [
+        (1, "遠い海", "2026-summer", None, 3), (2, "遠い海 第2クール", "2026-autumn", None, 2), (3, "遠い海 OVA", None, None, 1),
+        (4, "長い空", None, None, 4), (5, "長い空 第2期", None, None, 3), (6, "夜の庭(2011)", "2011-spring", None, 2), (7, "夜の庭", "1999-spring", None, 1),
+    ]
+    episodes = [
+        (11, 1, 1.0, "第1話", 10, "窓辺"), (12, 1, 2.0, "第2話", 20, "灯台"), (13, 1, 3.0, "第3話", 30, "波音"),
+        (21, 2, 1.0, "第1話", 10, "帆"), (22, 2, 2.0, "第2話", 20, "錨"), (31, 3, 1.0, "第1話", 10, "浜辺の夜"),
+        (41, 4, 1.0, "第1話", 10, "雲"), (42, 4, 2.0, "第2話", 20, "風"), (43, 4, None, "閑話", 30, "雨宿り"), (44, 4, None, "最終話", 40, "虹"),
+        (51, 5, 13.0, "第13話", 10, "朝"), (52, 5, 14.0, "第14話", 20, "昼"), (53, 5, 15.0, "第15話", 30, "晩"),
+        (61, 6, 1.0, "第1話", 10, "芽"), (62, 6, 2.0, "第2話", 20, "花の咲く夜"), (71, 7, 1.0, "第1話", 10, "種"),
+    ]
+    w, e = catalogue(spark, works, episodes)
+    programs = spark.createDataFrame([], PROGRAM)
+    names = {
+        "遠い海[終].ts": (13, "final"),
+        "長い空 最終回.ts": (44, "final"),
+        "長い空 #3「雨宿り」.ts": (43, "place and subtitle"),
+        "長い空 第2期 #2.ts": (52, "local number"),
+        "長い空 第2期 #14「昼」.ts": (52, "label and subtitle"),
+        "遠い海 #1「浜辺の夜」.ts": (11, "label"),
+        "遠い海「浜辺の夜」.ts": (31, "special: subtitle"),
+        "遠い海「錨」.ts": (22, "continuation: subtitle"),
+        "夜の庭 #2「花の咲く夜」.ts": (62, "continuation: label and subtitle"),
+        "夜の庭(2011) #1「芽」.ts": (61, "label and subtitle"),
+        "長い空[終]「知らない題」.ts": (None, None),
+    }
+    files = spark.createDataFrame([(i, f"/r/{n}") for i, n in enumerate(names)], "rec int, path string")
+    out = {r["path"][3:]: (r["episode_id"], r["strategy"]) for r in link(files, w, e, programs, LinkOptions(confidence=0)).collect()}
+    assert out == names
+
+
+def test_a_number_beyond_the_longest_list_counts_on_in_a_cour(spark):
+    w, e = catalogue(spark, [(1, "遠い海 その一", None, None, 3), (2, "遠い海 その一 第2クール", None, None, 2)], [(10 + n, 1, float(n), None, n, None) for n in (1, 2, 3)] + [(20 + n, 2, float(n), None, n, None) for n in (1, 2)])
+    files = spark.createDataFrame([(0, "/r/遠い海 #5.ts"), (1, "/r/遠い海 #6.ts"), (2, "/r/遠い海 #2.ts")], "rec int, path string")
+    out = {r["rec"]: (r["episode_id"], r["strategy"]) for r in link(files, w, e, spark.createDataFrame([], PROGRAM), LinkOptions(confidence=0)).collect()}
+    assert out == {0: (22, "cour offset"), 1: (None, None), 2: (None, None)}
+
+
+def test_unresolved_works_veto_a_proof(spark):
+    day = 86_400_000
+    clean = [(0, 1, 5, None, 0), (0, 2, 5, None, 1), (0, 1, 5, None, 2)]  # (which work's id, count, channel, subtitle, day)
+    cases = [  # schedule ids of two works, rows, episodes of three files
+        (True, clean, {0: 11, 1: 12, 2: 11}),
+        (False, clean, {0: None, 1: None, 2: None}),  # a work without a place in the schedule
+        (True, [*clean, (1, 1, 6, None, 0), (1, 2, 6, None, 0)], {0: None}),  # counts that disagree
+        (True, [*clean, (1, 1, 5, None, 1)], {1: 12}),  # another number than the name tells is no answer
+        (True, [*clean, (1, 2, 5, None, 0)], {0: None}),  # two answers
+        (True, [(0, 1, 5, "ちがう題名の話", 0)], {0: None}),  # a subtitle that contradicts
+        (True, [(0, 2, 5, None, 2)], {2: None}),  # that of the name
+    ]
+    works, episodes, rows, files = [], [], [], []
+    for c, (both, told, _) in enumerate(cases):
+        tid = lambda k: 100 + 2 * c + k
+        works += [(10 * c + k, f"遠い海{'いろはにほへと'[c]} {'甲乙'[k]}", None, str(tid(k)) if both or k == 0 else None, 2) for k in (0, 1)]
+        episodes += [(1000 * c + 10 * k + 10 + n, 10 * c + k, float(n), f"第{n}話", n, f"題{k}の{n}番") for k in (0, 1) for n in (1, 2)]
+        rows += [(1000 * c + i, tid(k), count, ch, sub, DAY0 + d * day, DAY0 + d * day + 1, False, False) for i, (k, count, ch, sub, d) in enumerate(told)]
+        title = f"遠い海{'いろはにほへと'[c]}"
+        files += [(10 * c, f"/r/{title} (20260716).ts"), (10 * c + 1, f"/r/{title} #2 (20260717).ts"), (10 * c + 2, f"/r/{title}「題0の1番 ほか」 (20260718).ts")]
+    w, e = catalogue(spark, works, episodes)
+    out = {r["rec"]: r["episode_id"] for r in link(spark.createDataFrame(files, "rec int, path string"), w, e, spark.createDataFrame(rows, PROGRAM)).collect()}
+    for c, (_, _, want) in enumerate(cases):
+        assert {k: out[10 * c + k] and out[10 * c + k] - 1000 * c for k in want} == want, c
+
+
+def test_shared_cours_and_the_history(spark):
+    works = [(1, "遠い海", None, "101", 2), (2, "遠い海 第2クール", None, None, 2), (3, "白い夜", None, "103", 2)]
+    episodes = [(11, 1, 1.0, "第1話", 1, "窓辺"), (12, 1, 2.0, "第2話", 2, "灯台"), (23, 2, 3.0, "第3話", 3, "波音"), (24, 2, 4.0, "第4話", 4, "帆柱"), (31, 3, 1.0, "第1話", 1, "序章"), (32, 3, 2.0, "第2話", 2, "終章")]
+    w, e = catalogue(spark, works, episodes)
+    hour = 3_600_000
+    rows = [(1, 101, 3, 5, "波音", DAY0, DAY0 + hour, False, False), (2, 101, 4, 5, "帆柱 後編", DAY0 + 24 * hour, DAY0 + 25 * hour, False, False), (3, 103, 1, 5, "序章", DAY0, DAY0 + hour, False, False), (4, 103, 2, 6, "終章", DAY0 + hour, DAY0 + 2 * hour, False, False)]
+    programs = spark.createDataFrame(rows, PROGRAM)
+    names = ["遠い海 (20260716).ts", "遠い海 (20260717).ts", "白い夜 (20260716).ts"]
+    files = spark.createDataFrame([(i, f"/r/{n}") for i, n in enumerate(names)], "rec int, path string")
+    history = spark.createDataFrame([(900, 66, DAY0 + hour, DAY0 + 2 * hour, "白い夜", [("白い夜 (20260716).ts",)])], "id long, channel_id long, start_at long, end_at long, name string, video_files array<struct<filename:string>>")
+    channels = spark.createDataFrame([(5, 55), (6, 66)], "channel_id int, history_id long")
+    out = {r["rec"]: (r["episode_id"], r["strategy"]) for r in link(files, w, e, programs, history=history, channels=channels).collect()}
+    assert out == {0: (23, "shared cour"), 1: (None, None), 2: (32, "history")}
+    moved = history.withColumn("end_at", F.col("end_at") + 1)
+    assert {r["rec"]: r["episode_id"] for r in link(files, w, e, programs, history=moved, channels=channels).collect()}[2] is None
+
+
+def test_broadcasts_in_the_files_agree_or_refuse(spark):
+    w, e = catalogue(spark, [(1, "遠い海", None, None, 2)], [(11, 1, 1.0, "第1話", 1, "窓辺の夜"), (12, 1, 2.0, "第2話", 2, "灯台の朝")])
+    files = spark.createDataFrame([(i, f"/r/{n}") for i, n in enumerate(["遠い海.ts", "遠い海 #2.ts", "遠い海 #1.ts", "遠い海 #1.mp4"])], "rec int, path string")
+    told = spark.createDataFrame([(0, "[字]遠い海 第2話 灯台の朝"), (1, "遠い海 #1「窓辺の夜」"), (2, "遠い空 #1")], "rec int, name string").withColumn("recorded_date", F.lit(None).cast("date"))
+    out = {r["rec"]: (r["status"], r["episode_id"]) for r in link(files, w, e, spark.createDataFrame([], PROGRAM), LinkOptions(confidence=70), told).collect()}
+    assert out == {0: ("linked", 12), 1: ("refused", None), 2: ("refused", None), 3: ("linked", 11)}

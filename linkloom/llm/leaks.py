@@ -139,7 +139,8 @@ class ItemIndex:
         """By text hit: all runs that hold enough of it, as (letters of the item, first and end place in ``doc``)."""
         out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         covered: dict[tuple[int, int], int] = {}  # by text and diagonal: where in the document its runs end
-        ends: dict[int, dict[int, list[tuple[int, int, int]]]] = {}  # by text and end in the document
+        ends: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}  # by text and stretch of the document that a run ends in
+        wide = gap + 1
         for size, where in self.seeds.items():
             for i in [i for i in range(len(doc) - size + 1) if doc[i : i + size] in where]:
                 for x, j in where[doc[i : i + size]]:
@@ -148,16 +149,19 @@ class ItemIndex:
                     item = self.texts[x]
                     a, b = extend(doc, item, i + size, j + size, 1, anchor)
                     c, d = extend(doc, item, i - 1, j - 1, -1, anchor)
-                    before = ends.setdefault(x, {})
-                    if before:
-                        # a few changed characters close together don't part two runs
-                        near = [(d2, c2) for e in range(c + 1 - gap, c + 2 + gap) for b2, c2, d2 in before.get(e, ()) if -gap <= d + 1 - b2 <= gap and c2 < c and d2 < d]
-                        if near:
-                            d, c = min(near)
+                    # a few changed characters close together don't part two runs
+                    near = None
+                    for e in range((c + 1) // wide - 1, (c + 1) // wide + 2):
+                        for a2, b2, c2, d2 in ends.get((x, e), ()):
+                            if -gap <= c + 1 - a2 <= gap and -gap <= d + 1 - b2 <= gap and c2 < c and d2 < d and (near is None or (d2, c2) < near):
+                                near = d2, c2
+                    if near:
+                        d, c = near
                     covered[x, i - j] = max(a, covered.get((x, i - j), 0))
                     covered[x, a - b] = max(a, covered.get((x, a - b), 0))
-                    if (b, c, d) not in before.setdefault(a, []):
-                        before[a].append((b, c, d))
+                    held = ends.setdefault((x, a // wide), [])
+                    if (a, b, c, d) not in held:
+                        held.append((a, b, c, d))
                     if b - d - 1 >= self.need[x]:
                         out[x].append((b - d - 1, c + 1, a))
         return out

@@ -337,7 +337,7 @@ def combine_records(file: DataFrame, other: DataFrame) -> DataFrame:
     return j.withColumns(merged | {"error": error, "error_kind": kind}).select(*file.columns)
 
 
-def link(files: DataFrame, works: DataFrame, episodes: DataFrame, programs: DataFrame, options: LinkOptions = LinkOptions(), broadcasts: DataFrame | None = None, history: DataFrame | None = None, channels: DataFrame | None = None) -> DataFrame:
+def link(files: DataFrame, works: DataFrame, episodes: DataFrame, programs: DataFrame, options: LinkOptions = LinkOptions(), broadcasts: DataFrame | None = None, history: DataFrame | None = None, channels: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
     """(rec, path, status, strategy, work_id, episode_id, confidence, reasons, target) of every file(rec, path).
 
     status is 'linked', 'below' (under the asked confidence), 'open' (no or several answers) or 'refused' (the name cannot
@@ -346,7 +346,7 @@ def link(files: DataFrame, works: DataFrame, episodes: DataFrame, programs: Data
 
     programs(tid, count, t, deleted, warn); trusted channels, corroborated rows and shared cours are asked for where it has
     channel_id and subtitle. ``broadcasts``(rec, name, recorded_date) are the broadcasts read from the files themselves,
-    ``history`` and ``channels`` as in ``history_proof``.
+    ``history`` and ``channels`` as in ``history_proof``. Copies are numbered behind those of ``taken``(target) from earlier runs.
     """
     w, e = catalogue_keys(works, episodes)
     w, e = checkpointed(w), checkpointed(e)
@@ -382,10 +382,10 @@ def link(files: DataFrame, works: DataFrame, episodes: DataFrame, programs: Data
         rest = left.join(proved.select("rec"), "rec", "left_anti")
         # the tier is added after the plan is cut: a constant in a checkpoint loses its column in later plans
         proved = proved.unionByName(checkpointed(prove(rest).select("rec", "episode_id")).withColumn("tier", F.lit(name)))
-    return _plan(files, records, pairs, picked, direct.unionByName(proved), w, e, programs, options)
+    return _plan(files, records, pairs, picked, direct.unionByName(proved), w, e, programs, options, taken)
 
 
-def _plan(files: DataFrame, records: DataFrame, pairs: DataFrame, picked: DataFrame, answers: DataFrame, w: DataFrame, e: DataFrame, programs: DataFrame, options: LinkOptions) -> DataFrame:
+def _plan(files: DataFrame, records: DataFrame, pairs: DataFrame, picked: DataFrame, answers: DataFrame, w: DataFrame, e: DataFrame, programs: DataFrame, options: LinkOptions, taken: DataFrame | None) -> DataFrame:
     """The answers with their confidence, reasons and targets."""
     chosen = answers.join(e, "episode_id").join(w.select("work_id", "title", F.col("tid").alias("wtid")), "work_id")
     aired = programs.where(~F.col("deleted")).select(F.col("tid").alias("wtid"), F.col("count").alias("n"), local_day(F.col("t")).alias("recorded_date")).distinct().withColumn("aired", F.lit(True))
@@ -419,7 +419,13 @@ def _plan(files: DataFrame, records: DataFrame, pairs: DataFrame, picked: DataFr
     home = F.when(F.endswith(folder, F.concat(F.lit("/"), title)), folder).otherwise(F.concat(folder, F.lit("/"), title))
     ready = (F.col("status") == "linked") & label.isNotNull() & (title != "")
     placed = told.withColumn("base", F.when(ready, F.concat(home, F.lit("/"), fitted)))
-    numbered = placed.where("base is not null").join(R.number_duplicates(placed.where("base is not null"), "base", ["path", "rec"], "rec").select("rec", "copy"), "rec")
+    claims = placed.where("base is not null")
+    if taken is None:
+        copies = R.number_duplicates(claims, "base", ["path", "rec"], "rec")
+    else:
+        base_of = F.regexp_replace("target", "/duplicate/([^/]*) \\([0-9]+\\)(\\.[^./]*)$", "/$1$2")
+        copies = R.free_copies(claims, taken.where("target is not null").select(base_of.alias("base")), "base", ["path", "rec"], "rec")
+    numbered = claims.join(copies.select("rec", "copy"), "rec")
     stem = F.regexp_extract("base", "^(.*)/([^/]*)(\\.[^./]*)$", 2)
     target = F.when(F.col("copy") == 0, F.col("base")).otherwise(F.concat(F.regexp_extract("base", "^(.*)/[^/]*$", 1), F.lit("/duplicate/"), stem, F.lit(" ("), F.col("copy").cast("string"), F.lit(")"), F.regexp_extract("base", "(\\.[^./]*)$", 1)))
     targets = numbered.select("rec", target.alias("target"))

@@ -191,3 +191,36 @@ def number_duplicates(df: DataFrame, target: str, order: Sequence[str], key: str
 def fresh(df: DataFrame, at: str, now: Column, ttl: str = "INTERVAL 7 DAYS") -> DataFrame:
     """Rows of a cache that are at most ``ttl`` old and not from the future."""
     return df.where((F.col(at) <= now) & (F.col(at) >= now - F.expr(ttl)))
+
+
+def refreshed(cache: DataFrame, answers: DataFrame, key: str, at: str) -> DataFrame:
+    """A cache with new answers laid over it: the row of each key that is newest by ``at``, of equal ones the answer's.
+
+    Rows without a key or a time are dropped. Both sides have the same columns.
+    """
+    both = cache.withColumn("__new", F.lit(0)).unionByName(answers.withColumn("__new", F.lit(1))).where(F.col(key).isNotNull() & F.col(at).isNotNull())
+    rest = [c for c in cache.columns if c != key]
+    best = both.groupBy(key).agg(F.max_by(F.struct(*_cols(rest)), F.struct(F.col(at), F.col("__new"))).alias("__row"))
+    return best.select(key, *[F.col("__row")[c].alias(c) for c in rest])
+
+
+def free_copies(plan: DataFrame, existing: DataFrame, target: str, order: Sequence[str], key: str) -> DataFrame:
+    """(key, target, copy): numbers of claimants of a target, behind the ``existing``(target) that stand there already."""
+    there = existing.where(F.col(target).isNotNull()).groupBy(target).agg(F.count("*").alias("__there"))
+    numbered = number_duplicates(plan, target, order, key)
+    return numbered.join(there, target, "left").select(key, target, (F.col("copy") + F.coalesce("__there", F.lit(0))).cast("int").alias("copy"))
+
+
+def conflicting(new: DataFrame, existing: DataFrame, place: str, identity: str) -> DataFrame:
+    """(place, identity, others): rows of ``new`` whose place already has another identity, or several; they must not be written."""
+    there = existing.where(F.col(place).isNotNull() & F.col(identity).isNotNull()).groupBy(place).agg(F.min(identity).alias("__lo"), F.max(identity).alias("__hi"), F.countDistinct(identity).cast("int").alias("others"))
+    j = new.where(F.col(place).isNotNull() & F.col(identity).isNotNull()).select(place, identity).distinct().join(there, place)
+    return j.where((F.col("__lo") != F.col(identity)) | (F.col("__hi") != F.col(identity))).select(place, identity, "others")
+
+
+def exact_lookup(asked: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value, status) for each distinct key asked: 'found' where exactly one row has it, else 'none' or 'several'."""
+    g = table.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("v"))
+    j = asked.where(F.col(key).isNotNull()).select(key).distinct().join(g, key, "left")
+    status = F.when(F.col("n") == 1, "found").when(F.col("n") > 1, "several").otherwise("none")
+    return j.select(key, F.when(F.col("n") == 1, F.col("v")).alias(value), status.alias("status"))

@@ -1,4 +1,4 @@
-"""Queries of the reference's relational shapes, over the catalogue, the schedule and the history, each with its SQL."""
+"""Queries of relational shapes over the catalogue, the schedule and the history, each with its SQL."""
 
 from __future__ import annotations
 
@@ -419,9 +419,9 @@ def f18_same_parts(spark, folder):
     """Names of one brand with the same words in any order: joined on the sorted words, not compared pair by pair."""
     p = table(spark, folder, "part", "p_partkey", "p_brand", "p_name")
     key = F.array_sort(F.filter(F.transform(F.split("p_name", " "), lambda x: F.lower(x)), lambda x: x != ""))
-    p = p.withColumn("k", key).where(F.size("k") >= 2).select("p_partkey", "p_brand", F.array_join("k", " ").alias("k"))
-    a, b = p.withColumnRenamed("p_partkey", "a"), p.withColumnRenamed("p_partkey", "b")
-    return a.join(b, ["p_brand", "k"]).where("a < b").select("a", "b")
+    p = p.withColumn("k", key).where(F.size("k") >= 2).select("p_partkey", "p_brand", "p_name", F.array_join("k", " ").alias("k"))
+    a, b = p.select(F.col("p_partkey").alias("a"), "p_brand", "k", F.col("p_name").alias("x")), p.select(F.col("p_partkey").alias("b"), "p_brand", "k", F.col("p_name").alias("y"))
+    return a.join(b, ["p_brand", "k"]).where((F.col("a") < F.col("b")) & C.same_parts(F.col("x"), F.col("y"), " ")).select("a", "b")
 
 
 @query("""WITH v AS (SELECT DISTINCT id, unnest(map_values(raw_extended)) AS x FROM recordings WHERE raw_extended IS NOT NULL)

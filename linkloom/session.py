@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ def local_session(app: str = "linkloom", cores: int | None = None, **conf: str)
         "spark.ui.enabled": "false",
         "spark.driver.memory": os.environ.get("LINKLOOM_DRIVER_MEMORY", "8g"),
         "spark.driver.host": "127.0.0.1",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     for k, v in settings.items():
         builder = builder.config(k, v)
@@ -27,15 +30,21 @@ def local_session(app: str = "linkloom", cores: int | None = None, **conf: str)
     return spark
 
 
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """The folder that the session names in spark.checkpoint.dir; only a session on one machine gets one of its own, which goes with it."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    named = context.getConf().get("spark.checkpoint.dir", "")
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="linkloom-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, its lineage cut, so that a lost executor costs no recomputation.
-
-    The folder is the one that the session names in spark.checkpoint.dir. Only where none is named, as in tests, a
-    folder of this machine is set.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="linkloom-checkpoint-"))
-    elif context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir"))
+    """``df`` written to the checkpoint folder, its lineage cut, so that a lost executor costs no recomputation."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

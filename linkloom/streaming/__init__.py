@@ -1,4 +1,4 @@
-"""An extension beyond the reference's one-shot runs: names that arrive in a folder are parsed and linked as they come."""
+"""An extension beyond one-shot runs: names that arrive in a folder are parsed and linked as they come."""
 
 from __future__ import annotations
 
@@ -18,10 +18,16 @@ def arriving(spark: SparkSession, folder: str, delay: str = "1 hour") -> DataFra
 
 
 def link_arriving(stream: DataFrame, works: DataFrame, episodes: DataFrame, programs: DataFrame, out: str, checkpoint: str, options: LinkOptions = LinkOptions()) -> StreamingQuery:
-    """Each batch of ``arriving`` linked against the snapshots and written under its own number, so that a batch that is run again replaces itself."""
+    """Each batch of ``arriving`` linked against the snapshots and written under its own number, so that a batch that is run again replaces itself.
+
+    Copies of one target are numbered on from what earlier batches have written.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        files = batch.select(F.xxhash64("path").alias("rec"), "path")
-        link(files, works, episodes, programs, options).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        files = batch.select(F.sha2("path", 256).alias("rec"), "path")
+        spark = batch.sparkSession
+        schema = "rec string, path string, status string, strategy string, work_id int, episode_id int, confidence int, reasons array<string>, target string, batch long"
+        there = spark.read.schema(schema).option("basePath", out).parquet(out).where(F.col("batch") < number) if number else None
+        link(files, works, episodes, programs, options, taken=there).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -87,7 +87,7 @@ def test_transport_streams(spark, tmp_path):
     assert stream.probe(long)["name"] == "海" * 120
     wide = b"".join(b"\0\0\0\0" + good[i : i + 188] for i in range(0, len(good), 188))
     assert stream.probe(wide)["name"] == "夜の海"
-    assert stream.stream.decode_text(b"\x0e" + b"ABC" + b"\x0f" + arib("海") + b"\xa2\xf9") == "ABC海あー"
+    assert stream.decode_text(b"\x0e" + b"ABC" + b"\x0f" + arib("海") + b"\xa2\xf9") == "ABC海あー"
     (tmp_path / "a.ts").write_bytes(good)
     (tmp_path / "b.ts").write_bytes(good + transport("ちがう"))
     paths = spark.createDataFrame([(str(tmp_path / n),) for n in ("a.ts", "b.ts", "none.ts")], "path string")
@@ -117,3 +117,31 @@ def test_broadcast_signs():
     for bad in ("1b", "1b282040", "21", "7a7e", "95", "1d", "1b243a2121"):
         with pytest.raises(ValueError):
             stream.decode_text(bytes.fromhex(bad))
+
+
+def test_paged_answers(spark):
+    page = lambda search, total, *ids: (search, json.dumps({"works": [{"id": i, "title": f"t{i}"} for i in ids], "total_count": total}))
+    answers = [page("a", 3, 1, 2), page("a", 3, 3), page("b", 2, 1, 1), page("c", 2, 1), page("d", 1, 0), page("e", 2, 1), page("e", 3, 2), ("f", "no json"), page("g", 0)]
+    found = wire.works_of_pages(spark.createDataFrame(answers, "search string, body string"))
+    rows = found.collect()
+    assert sorted(r["id"] for r in rows if r["search"] == "a") == [1, 2, 3] and all(r["refused"] is None for r in rows if r["search"] == "a")
+    assert {r["search"]: r["refused"] for r in rows if r["search"] != "a"} == {"b": "duplicate", "c": "incomplete", "d": "invalid", "e": "total", "f": "total"}
+    second = wire.works_of_pages(spark.createDataFrame([page("a", 1, 9), page("b", 1, 8), page("g", 1, 7)], "search string, body string"))
+    assert sorted((r["search"], r["id"]) for r in wire.first_answering(found, second).collect()) == [("a", 1), ("a", 2), ("a", 3), ("b", 8), ("g", 7)]
+    body = json.dumps({"episodes": [{"id": 5, "number": 1.5, "sort_number": 1}, {"id": 6, "number": "x"}, {"id": 7, "number": None}], "total_count": 3})
+    assert sorted((r["id"], r["work_id"], r["number"], r["refused"]) for r in wire.episodes_of_pages(spark.createDataFrame([("4", body)], "search string, body string")).collect()) == [(5, 4, 1.5, None), (6, 4, None, "invalid"), (7, 4, None, None)]
+    at = lambda i, t: {"id": i, "started_at": t, "work": {"id": 4}, "episode": {"id": 5}}
+    body = json.dumps({"programs": [at(1, "2026-08-01T00:00:00+09:00"), at(2, "2026-07-31T15:00:01Z"), at(3, "2026-08-02T00:00:00Z")], "total_count": 3})
+    assert [r["id"] for r in wire.programs_between(spark.createDataFrame([("4", body)], "search string, body string"), "2026-07-31T15:00:00Z", "2026-08-02T00:00:00Z").collect()] == [2]
+
+
+def test_copies_are_numbered_on_in_later_batches(spark, tmp_path):
+    works = spark.createDataFrame([(1, "遠い海", None, "tv", None, None, None, None, None, 1, 0)], "id int, title string, title_kana string, media string, media_text string, season_name string, season_name_text string, released_on string, syobocal_tid string, episodes_count int, watchers_count int")
+    episodes = spark.createDataFrame([(10, 1, 1.0, "第1話", 10, "窓辺")], "id int, work_id int, number double, number_text string, sort_number int, title string")
+    programs = spark.createDataFrame([], "tid int, count int, t long, deleted boolean, warn boolean")
+    os.makedirs(tmp_path / "in")
+    for k, name in enumerate(["遠い海 #1「窓辺」.ts", "遠い海 #1「窓辺」[再].ts", "遠い海 #1「窓辺」[字].ts"]):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"path": f"/r/{name}", "seen_at": f"2026-08-01T00:0{k}:00Z"}))
+        link_arriving(arriving(spark, str(tmp_path / "in")), works, episodes, programs, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    out = {r["target"] for r in spark.read.parquet(str(tmp_path / "out")).where("target is not null").collect()}
+    assert out == {"/r/遠い海/遠い海 #1 「窓辺」.ts", "/r/遠い海/duplicate/遠い海 #1 「窓辺」 (1).ts", "/r/遠い海/duplicate/遠い海 #1 「窓辺」 (2).ts"}

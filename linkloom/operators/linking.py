@@ -337,7 +337,20 @@ def combine_records(file: DataFrame, other: DataFrame) -> DataFrame:
     return j.withColumns(merged | {"error": error, "error_kind": kind}).select(*file.columns)
 
 
-def link(files: DataFrame, works: DataFrame, episodes: DataFrame, programs: DataFrame, options: LinkOptions = LinkOptions(), broadcasts: DataFrame | None = None, history: DataFrame | None = None, channels: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
+def select_records(records: DataFrame, selections: DataFrame) -> DataFrame:
+    """``records`` with title, number and subtitle replaced where a fixed table of verified broadcasts has them.
+
+    selections(title, number, day, work_title, episode_number, subtitle): a title (by its key), the number that its name
+    tells (0: none) and the day name one row; the table is refused beyond a size that is fixed by hand.
+    """
+    keyed = T.column(T.title_key)
+    dim = selections.select(keyed("title").alias("__k"), F.coalesce("number", F.lit(0)).alias("__n"), F.col("day").alias("__d"), "work_title", "episode_number", "subtitle").where("__k <> '' and __d is not null").dropDuplicates(["__k", "__n", "__d"])
+    asked = F.col("episode_label").isNull() & F.col("error").isNull()
+    rows = records.withColumns({"__k": F.when(asked, keyed("work_title")), "__n": F.coalesce("episode_number", F.lit(0)), "__d": F.col("recorded_date")})
+    return R.override(rows, dim, ["__k", "__n", "__d"], ["work_title", "episode_number", "subtitle"]).select(*records.columns)
+
+
+def link(files: DataFrame, works: DataFrame, episodes: DataFrame, programs: DataFrame, options: LinkOptions = LinkOptions(), broadcasts: DataFrame | None = None, history: DataFrame | None = None, channels: DataFrame | None = None, taken: DataFrame | None = None, selections: DataFrame | None = None) -> DataFrame:
     """(rec, path, status, strategy, work_id, episode_id, confidence, reasons, target) of every file(rec, path).
 
     status is 'linked', 'below' (under the asked confidence), 'open' (no or several answers) or 'refused' (the name cannot
@@ -347,6 +360,7 @@ def link(files: DataFrame, works: DataFrame, episodes: DataFrame, programs: Data
     programs(tid, count, t, deleted, warn); trusted channels, corroborated rows and shared cours are asked for where it has
     channel_id and subtitle. ``broadcasts``(rec, name, recorded_date) are the broadcasts read from the files themselves,
     ``history`` and ``channels`` as in ``history_proof``. Copies are numbered behind those of ``taken``(target) from earlier runs.
+    ``selections`` as in ``select_records``.
     """
     w, e = catalogue_keys(works, episodes)
     w, e = checkpointed(w), checkpointed(e)
@@ -355,6 +369,8 @@ def link(files: DataFrame, works: DataFrame, episodes: DataFrame, programs: Data
     if broadcasts is not None:
         told = parse_recordings(broadcasts.select("rec", F.concat("name", F.lit(".ts")).alias("name"), F.col("recorded_date").alias("day")), "name", True).where("error is null")
         records = combine_records(records, told.withColumn("recorded_date", F.coalesce("recorded_date", "day")))
+    if selections is not None:
+        records = select_records(records, selections)
     records = checkpointed(records.withColumns({"sub": T.column(T.identity_key)("subtitle"), "part": T.column(T.scoring_key)("subtitle")}))
     good = records.where("error is null")
     pairs = checkpointed(candidate_works(good, w))

@@ -133,14 +133,21 @@ def agree_or_conflict(a: Column, b: Column) -> tuple[Column, Column]:
 
 
 def contains_pairs(short: DataFrame, long: DataFrame, n: int = 3) -> DataFrame:
-    """(short, long) of distinct texts k where ``long`` contains ``short``, blocked by the first ``n`` characters of the short one.
+    """(short, long) of distinct texts k where ``long`` contains ``short``, blocked by the rarest run of ``n`` characters of the short one.
 
-    Every position of the long text is a block key, so no pair is missed; texts shorter than ``n`` block by all they have.
+    Every run of the long text is a block key, so no pair is missed, and a run that many share, such as a common beginning,
+    is a key only for texts that have no rarer one. Texts shorter than ``n`` block by all they have.
     """
-    s = short.select(F.col("k").alias("short")).where(F.length("k") > 0).distinct().withColumn("g", F.substring("short", 1, n))
+    runs = lambda c, w: F.transform(F.sequence(F.lit(1), F.length(c) - w + 1), lambda i: F.substr(c, i, w))
     texts = long.select(F.col("k").alias("long")).where(F.length("k") > 0).distinct()
-    grams = texts.select("long", F.explode(F.expr(f"flatten(transform(sequence(1, {n}), w -> transform(sequence(1, length(long)), i -> substring(long, i, w))))")).alias("g")).distinct()
-    return s.join(grams, "g").where(F.contains("long", "short")).select("short", "long").distinct()
+    every = F.flatten(F.array(*[F.when(F.length("long") >= w, runs(F.col("long"), F.lit(w))).otherwise(F.array().cast("array<string>")) for w in range(1, n + 1)]))
+    grams = texts.select("long", F.explode(F.array_distinct(every)).alias("g"))
+    counts = grams.groupBy("g").agg(F.count("*").alias("n"))
+    s = short.select(F.col("k").alias("short")).where(F.length("k") > 0).distinct()
+    own = s.select("short", F.explode(F.array_distinct(runs(F.col("short"), F.least(F.lit(n), F.length("short"))))).alias("g")).join(counts, "g", "left")
+    # a text of which no long one has some run stands in none
+    rarest = own.groupBy("short").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.count_if(F.col("n").isNull()).alias("gone")).where("gone = 0").select("short", "g")
+    return rarest.join(grams, "g").where(F.contains("long", "short")).select("short", "long").distinct()
 
 
 def tiered_match(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -168,7 +175,7 @@ def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def override(df: DataFrame, dimension: DataFrame, on: Sequence[str], columns: Sequence[str], limit: int = 10_000) -> DataFrame:
     """``df`` with ``columns`` replaced where a fixed dimension has them. The dimension is refused beyond ``limit`` rows."""
-    if len(dimension.limit(limit + 1).collect()) > limit:
+    if dimension.limit(limit + 1).count() > limit:
         raise ValueError("the dimension is too large to be fixed")
     side = dimension.select(*on, *[F.col(c).alias(f"__new_{c}") for c in columns])
     out = df.join(F.broadcast(side), list(on), "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import text as T
+from linkloom.functions.names import headers
 from linkloom.operators import linking
 from linkloom.plans.catalogue import programs
 from linkloom.sources import table
@@ -17,6 +18,14 @@ def e01_parsed_names(spark: SparkSession, folder: str) -> DataFrame:
     return linking.parse_recordings(files).withColumnRenamed("rec", "meta_id")
 
 
+def e20_description_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """What the descriptions of broadcasts tell of their episodes, where they begin with a mark."""
+    b = table(spark, folder, "broadcasts", "broadcast_id", "name", "description").where("description is not null")
+    named = linking.parse_recordings(b.withColumn("path", F.concat(F.regexp_replace("name", "/", "／"), F.lit(".ts")))).where("error is null")
+    told = named.select("broadcast_id", headers()("work_title", "description").alias("h")).where("h.episode_number is not null or h.episode_label is not null or h.error is not null")
+    return told.select("broadcast_id", "h.*")
+
+
 def n01_text_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Keys of every episode title."""
     e = table(spark, folder, "episodes", "id", "title").where("title is not null")
@@ -50,4 +59,4 @@ def a18_link_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {q.__name__: q for q in (e01_parsed_names, n01_text_keys, r01_links, r03_schedule_proof, k03_sidecars, a18_link_summary)}
+    return {q.__name__: q for q in (e01_parsed_names, e20_description_headers, n01_text_keys, r01_links, r03_schedule_proof, k03_sidecars, a18_link_summary)}

@@ -186,3 +186,11 @@ def test_broadcasts_in_the_files_agree_or_refuse(spark):
     told = spark.createDataFrame([(0, "[字]遠い海 第2話 灯台の朝"), (1, "遠い海 #1「窓辺の夜」"), (2, "遠い空 #1")], "rec int, name string").withColumn("recorded_date", F.lit(None).cast("date"))
     out = {r["rec"]: (r["status"], r["episode_id"]) for r in link(files, w, e, spark.createDataFrame([], PROGRAM), LinkOptions(confidence=70), told).collect()}
     assert out == {0: ("linked", 12), 1: ("refused", None), 2: ("refused", None), 3: ("linked", 11)}
+
+
+def test_selections_are_laid_over_the_names(spark):
+    w, e = catalogue(spark, [(1, "遠い海", None, None, 2)], [(11, 1, 1.0, "第1話", 1, "窓辺の夜"), (12, 1, 2.0, "第2話", 2, "灯台の朝")])
+    files = spark.createDataFrame([(0, "/r/海の名場面 #7 (20260716).ts"), (1, "/r/海の名場面 #7 (20260717).ts"), (2, "/r/海の 名場面 (20260718).ts")], "rec int, path string")
+    table = spark.createDataFrame([("海の名場面", 7, "2026-07-16", "遠い海", 2, "灯台の朝"), ("海の名場面", 0, "2026-07-18", "遠い海", 1, "窓辺の夜")], "title string, number int, day string, work_title string, episode_number int, subtitle string").withColumn("day", F.to_date("day"))
+    out = {r["rec"]: r["episode_id"] for r in link(files, w, e, spark.createDataFrame([], PROGRAM), selections=table).collect()}
+    assert out == {0: 12, 1: None, 2: 11}

@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from linkloom.functions.names import Reader, fold, parse_name
+from linkloom.functions.names import Reader, content_label, description_header, fold, headers, parse_name
 
 N = None
 TOLD = {
@@ -118,3 +118,25 @@ def test_broadcasts_keep_what_stands_behind_the_number():
 def test_places_stay():
     text = "ＡＢ①ｶﾞ㌢第３話［終］"
     assert len(fold(text)) == len(text) and [t.text for t in Reader("第３話").tokens] == ["第", "3", "話"]
+
+
+def test_headers_of_descriptions():
+    told = lambda d: (lambda p: p and (p["work_title"], p["episode_number"], p["episode_label"], p["subtitle"], p["error_kind"]))(description_header("海", d))
+    assert told("第3話「窓辺」\n前回の第2話では…") == ("海", 3, None, "窓辺", None)
+    assert told("  #12 遠い灯台") == ("海", 12, None, "遠い灯台", None) and told("第十二話　波") == ("海", 12, None, "波", None)
+    assert told("～夏の章～ 第2話 帆") == ("海 ～夏の章～", 2, None, "帆", None) and told("第2.5話「間」") == ("海", None, "2.5", "間", None)
+    assert told("前回、第2話で…") is None and told("") is None and told(None) is None and told("～夏の章～ 波") is None
+    assert told("#1～#3 一挙")[4] == "ambiguous" and told("第0話")[4] == "ambiguous"
+
+
+def test_labels_of_content_fields():
+    assert content_label({"番組内容": "第3.5話"}, None) == ("3.5", False)
+    assert content_label({"出演者": "第3.5話", "◇今回の番組内容": " #3.50 "}, "◇番組内容\n第3.5話\n◆出演\n甲") == ("3.5", False)
+    assert content_label({"番組内容": "第3.5話"}, "◇番組内容\n第4.5話") == (None, True)
+    assert content_label({"番組内容": "第3.5話の続き"}, None) == (None, True) and content_label({"番組内容": "第3話"}, "第3.5話") == (None, False) and content_label(None, None) == (None, False)
+
+
+def test_header_columns(spark):
+    rows = [("海", "第3話「窓辺」"), ("海", None), (None, "第3話"), ("海", "波")]
+    out = spark.createDataFrame(rows, "t string, d string").select(headers()("t", "d").alias("h")).collect()
+    assert [r["h"]["episode_number"] for r in out] == [3, None, None, None]

@@ -383,8 +383,8 @@ def link(files: DataFrame, works: DataFrame, episodes: DataFrame, programs: Data
         left = good.join(direct.select("rec"), "rec", "left_anti").where("length(sub) > 0")
         more = pairs.join(left.select("rec"), "rec", "left_semi").unionByName(further_works(left, w, begins, remakes)).distinct()
         answers = R.priority_tiers(episode_evidence(left, more, e).where(F.col("tier").isin(STRICT)), ["rec"], "tier", "episode_id", TIERS)
-        direct = direct.unionByName(answers.where("value is not null").select("rec", F.col("value").alias("episode_id"), F.concat(F.lit(f"{name}: "), "tier").alias("tier")))
-    direct = checkpointed(direct)
+        # cut here, as the next pass and the proofs read it: one plan of all would fill the driver
+        direct = checkpointed(direct.unionByName(answers.where("value is not null").select("rec", F.col("value").alias("episode_id"), F.concat(F.lit(f"{name}: "), "tier").alias("tier"))))
     left = good.join(direct.select("rec"), "rec", "left_anti")
     proved = checkpointed(schedule_proof(left, w, pairs, e, programs, direct.join(good.select("rec", "recorded_date", "subtitle"), "rec")).select("rec", "episode_id", "tier"))
     further = []
@@ -434,7 +434,7 @@ def _plan(files: DataFrame, records: DataFrame, pairs: DataFrame, picked: DataFr
     fitted = _fit_name()(title, label, said, ext)
     home = F.when(F.endswith(folder, F.concat(F.lit("/"), title)), folder).otherwise(F.concat(folder, F.lit("/"), title))
     ready = (F.col("status") == "linked") & label.isNotNull() & (title != "")
-    placed = told.withColumn("base", F.when(ready, F.concat(home, F.lit("/"), fitted)))
+    placed = checkpointed(told.withColumn("base", F.when(ready, F.concat(home, F.lit("/"), fitted))).select("rec", "path", "status", "tier", "work_id", "episode_id", "confidence", "reasons", "base"))
     claims = placed.where("base is not null")
     if taken is None:
         copies = R.number_duplicates(claims, "base", ["path", "rec"], "rec")

@@ -192,6 +192,31 @@ def test_blocking_finds_what_brute_force_finds(spark):
     assert {x for x in want if x[0] in exact} <= found
 
 
+def test_no_title_that_meets_the_threshold_is_left_out(spark):
+    from linkloom.llm.entity import candidate_titles, title_likeness
+
+    rng = random.Random(5)
+    parts = ["深い", "遠い", "黒い", "ペンギン", "パズル", "狐火", "ランタン", "harbor", "nocturne", "tempest", "の旅", "航路", "庭師", "デパート"]
+    works = sorted({"".join(rng.sample(parts, rng.randint(1, 4))) for _ in range(200)} | {"虹", "ab"})
+    titles = {("ba", False, ""), ("霧", False, ""), ("", False, "")}
+    for n, w in enumerate(works):
+        t = list(w)
+        for _ in range(int(0.35 * len(w))):  # as many edits as the threshold allows, swaps of neighbours among them
+            k = rng.randrange(len(t))
+            if k + 1 < len(t) and rng.random() < 0.5:
+                t[k], t[k + 1] = t[k + 1], t[k]
+            else:
+                t[k : k + 1] = rng.choice([[], [t[k], "ン"], ["ヌ"]])
+        titles.add(("".join(t)[: rng.randint(2, 8) if n % 5 == 0 else 99] + ("第一夜の手紙" if n % 7 == 1 else ""), n % 5 == 0, ""))
+    known = spark.createDataFrame([(i, (w, None, [])) for i, w in enumerate(works)], "work_id long, p struct<base:string,season:int,words:array<string>>")
+    rows = spark.createDataFrame(sorted(titles), "base string, cut boolean, words string")
+    want = {(b, c, i) for b, c, _ in titles for i, w in enumerate(works) if (b == w if b in works else title_likeness(b, c, w) >= 0.65)}
+    for cell in (20_000, 60):
+        found = [(r["base"], r["cut"], r["work_id"]) for r in candidate_titles(rows, known, cell=cell).collect()]
+        assert set(found) == want and len(found) == len(want), (cell, len(want - set(found)), len(set(found) - want))
+    assert candidate_titles(rows.limit(0), known).count() == 0 and candidate_titles(rows, known.limit(0)).count() == 0
+
+
 T0 = 1_784_500_000_000
 
 

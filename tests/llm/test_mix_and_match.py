@@ -217,6 +217,18 @@ def test_no_title_that_meets_the_threshold_is_left_out(spark):
     assert candidate_titles(rows.limit(0), known).count() == 0 and candidate_titles(rows, known.limit(0)).count() == 0
 
 
+def test_titles_are_judged_many_at_once_as_one_by_one():
+    from linkloom.llm.entity import _Letters, _forms, _plain_table, title_likeness
+    from linkloom.llm.near_titles import likenesses
+
+    rng = random.Random(8)
+    texts = ["", "a", "虹"] + ["".join(rng.choices("abcかキ霧", k=rng.randint(1, 16))) for _ in range(60)]
+    rows = [(a, c, b) for a in texts for b in texts for c in (False, True)]
+    assert likenesses(rows) == [title_likeness(*r) for r in rows] and likenesses([]) == []
+    # letters that stand for themselves are looked up once
+    assert isinstance(_forms(), _Letters) and isinstance(_plain_table(), _Letters)
+
+
 T0 = 1_784_500_000_000
 
 
